@@ -88,14 +88,13 @@ VIEWS: dict[str, str] = {
         SELECT entity_id, 'KW' || CAST((entity_id + 7) % 25 AS STRING) AS keyword,
                CASE WHEN type = 'MOVIE' THEN 'media.movie' ELSE 'media.celebrity' END AS category,
                genre, language, state FROM entities""",
-    # mentions of one entity move to the next day on every sixth day, so that daily series have gaps
+    # on every sixth day of an entity its mentions go to the next entity, so that daily series have gaps
     "mentions": """
-        SELECT m.mention_id, m.managed_entity_id, m.platform, m.post_id, m.author, m.sentiment, m.sentiment_score,
-               CASE WHEN (m.managed_entity_id + m.day_no) % 6 = 0 THEN m.us + 86400000000 ELSE m.us END AS us,
-               CAST(floor((CASE WHEN (m.managed_entity_id + m.day_no) % 6 = 0 THEN m.us + 86400000000
-                                ELSE m.us END) / 86400000000) AS BIGINT) AS day_no
-        FROM (SELECT post_id AS mention_id, mix % (SELECT n FROM nents) AS managed_entity_id, platform, post_id,
-                     author,
+        SELECT m.mention_id, CASE WHEN (m.e + m.day_no) % 6 = 0 THEN (m.e + 1) % m.n_ent ELSE m.e END
+                   AS managed_entity_id,
+               m.platform, m.post_id, m.author, m.sentiment, m.sentiment_score, m.us, m.day_no, m.n_ent
+        FROM (SELECT post_id AS mention_id, mix % (SELECT n FROM nents) AS e, (SELECT n FROM nents) AS n_ent,
+                     platform, post_id, author,
                      CASE WHEN sentiment_score > 75 THEN 'POSITIVE'
                           WHEN sentiment_score >= 1 AND sentiment_score < 50 THEN 'NEGATIVE'
                           ELSE 'NEUTRAL' END AS sentiment,
@@ -104,8 +103,9 @@ VIEWS: dict[str, str] = {
     "mention_entities": """
         SELECT mention_id, managed_entity_id FROM mentions
         UNION ALL
-        SELECT mention_id, (managed_entity_id + 1) % (SELECT n FROM nents) AS managed_entity_id
-        FROM mentions WHERE mention_id % 5 = 0""",
+        SELECT mention_id, CASE WHEN (t + day_no) % 6 = 0 THEN (t + 1) % n_ent ELSE t END AS managed_entity_id
+        FROM (SELECT mention_id, (managed_entity_id + 1) % n_ent AS t, day_no, n_ent
+              FROM mentions WHERE mention_id % 5 = 0) q""",
     "identity_link": """
         SELECT DISTINCT 'user-' || CAST(user_id * 17 AS STRING) AS global_user_id,
                'user' || CAST(user_id AS STRING) AS normalized_author
