@@ -82,8 +82,8 @@ def seed_reach(posts: DataFrame) -> DataFrame:
                         + F.col("youtube_comments"))
 
 
-def seed_weights(profiles: DataFrame, reach: DataFrame, saturation: float = 0.99, moi_range=(0.1, 10.0),
-                 reach_range=(0.005, 1.0), q: float = 0.9) -> DataFrame:
+def seed_weights(profiles: DataFrame, reach: DataFrame, saturation: float = 0.99, moi_range=(0.1, 100.0),
+                 reach_range=(1e-4, 1.0), q: float = 0.9) -> DataFrame:
     """One row: 90th percentiles of alpha, MOI and log reach, and the two clamped weights."""
     a = scale.exact_quantiles(profiles.filter((F.col("influence_rank") > 0) & (F.col("influence_rank") < saturation)),
                               "influence_rank", {"q": q})

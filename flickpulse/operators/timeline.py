@@ -41,7 +41,7 @@ def excitation(posts: DataFrame, keys: list[str], kernel: Kernel) -> DataFrame:
          .withColumn("us", F.col("us") - F.col("us") % kernel.resolution_us)
          .withColumn("piece", scale.bucket_of("us", piece))
          .withColumn("offset", F.col("us") - F.col("piece") * piece))
-    reach = scale.steps_within(40.0, kernel.beta * piece / kernel.unit_us)  # e^-40 is below double precision
+    reach = scale.steps_within(745.0, kernel.beta * piece / kernel.unit_us)  # e^-745 is the smallest double
     sums = p.groupBy(*keys, "piece").agg(
         F.sum(F.exp((F.col("offset") - F.lit(piece)) * F.lit(rate))).alias("at_end"))
     near = F.collect_list(F.struct("piece", "at_end")).over(

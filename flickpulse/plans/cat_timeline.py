@@ -53,7 +53,7 @@ def valid_bursty(t):
 
 
 @query("hawkes_fit", HOURLY_SQL + """
-    SELECT author, n, round(span,6) AS span, round(mu,5) AS mu, round(alpha,5) AS alpha,
+    SELECT author, n, round(span,5) AS span, round(mu,5) AS mu, round(alpha,5) AS alpha,
            round(branching_ratio,5) AS branching_ratio FROM fit""", recursive=True, digits=5)
 def hawkes_fit(t):
     return TL.hawkes_fit(t.posts_bursty, ["author"], TL.HOURLY)
@@ -86,9 +86,9 @@ LEVELS = """
 
 
 @query("temporal_audit", MINUTE_SQL + "," + LEVELS + """
-    SELECT author, post_id, round((eus - min(eus) OVER (PARTITION BY author))/60000000.0,6) AS minutes,
+    SELECT author, post_id, eus - min(eus) OVER (PARTITION BY author) AS since_start_us,
            round(spike,4) AS spike, round(intensity,4) AS intensity,
-           round((eus - lag(eus) OVER (PARTITION BY author ORDER BY eus, post_id))/60000000.0,6) AS gap_minutes
+           eus - lag(eus) OVER (PARTITION BY author ORDER BY eus, post_id) AS gap_us
     FROM lv""", recursive=True)
 def temporal_audit(t):
     v = valid_bursty(t)
@@ -96,8 +96,9 @@ def temporal_audit(t):
     s = TL.spikes(TL.interarrival(v, ["author"]), ["author"], fits, TL.PER_MINUTE)
     first = v.groupBy("author").agg(F.min("us").alias("first_us"))
     return s.join(first, "author").select(
-        "author", "post_id", ((F.col("us") - F.col("first_us")) / 60_000_000.0).alias("minutes"),
-        F.round("spike", 4).alias("spike"), F.round("intensity", 4).alias("intensity"), "gap_minutes")
+        "author", "post_id", (F.col("us") - F.col("first_us")).alias("since_start_us"),
+        F.round("spike", 4).alias("spike"), F.round("intensity", 4).alias("intensity"),
+        (F.col("us") - F.col("previous_us")).alias("gap_us"))
 
 
 @query("excitation_level", MINUTE_SQL + "," + LEVELS + """
@@ -110,10 +111,11 @@ def excitation_level(t):
 
 
 @query("interarrival", """
-    SELECT author, post_id, round((us - lag(us) OVER (PARTITION BY author ORDER BY us, post_id))/60000000.0, 6)
-           AS gap_minutes FROM posts_lean""")
+    SELECT author, post_id, us - lag(us) OVER (PARTITION BY author ORDER BY us, post_id) AS gap_us
+    FROM posts_lean""")
 def interarrival(t):
-    return TL.interarrival(t.posts_lean, ["author"]).select("author", "post_id", "gap_minutes")
+    return TL.interarrival(t.posts_lean, ["author"]).select("author", "post_id",
+                                                            (F.col("us") - F.col("previous_us")).alias("gap_us"))
 
 
 BURST = """
@@ -283,8 +285,8 @@ REACH4 = """
                    AND influence_rank < 0.99) AS alpha_p90,
                   (SELECT quantile_cont(moi_score, 0.9) FROM profiles WHERE moi_score > 0) AS moi_p90,
                   (SELECT quantile_cont(ln(1+total_reach), 0.9) FROM rt WHERE total_reach > 0) AS log_reach_p90),
-    w AS (SELECT *, least(greatest(alpha_p90/moi_p90, 0.1), 10.0) AS w_moi,
-                 least(greatest(alpha_p90/log_reach_p90, 0.005), 1.0) AS w_reach FROM wt)"""
+    w AS (SELECT *, least(greatest(alpha_p90/moi_p90, 0.1), 100.0) AS w_moi,
+                 least(greatest(alpha_p90/log_reach_p90, 1e-4), 1.0) AS w_reach FROM wt)"""
 
 
 @query("seed_weights", REACH4 + """

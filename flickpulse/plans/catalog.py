@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from flickpulse.plans import cat_daily, cat_posts, cat_timeline
+from flickpulse.plans import cat_daily, cat_posts, cat_text, cat_timeline
 
-assert cat_posts and cat_daily and cat_timeline
+assert cat_posts and cat_daily and cat_timeline and cat_text

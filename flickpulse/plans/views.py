@@ -132,16 +132,16 @@ VIEWS: dict[str, str] = {
         FROM shared_plan s JOIN documents d ON d.doc_id = s.doc_id""",
     "profiles": """
         SELECT author AS global_user_id, 'tribe ' || CAST(max(user_id) % 4 AS STRING) AS tribe_label,
-               round(least(1.0, count(*) / 100.0), 6) AS influence_rank,
-               round(sqrt(sum(CASE WHEN views > 0 THEN ((likes + comments) * 1.0 / views)
-                                       * ((likes + comments) * 1.0 / views) ELSE 0.0 END) / count(*)), 6) AS moi_score,
+               round(least(1e0, count(*) / 100e0), 6) AS influence_rank,
+               round(sqrt(sum(CASE WHEN views > 0 THEN ((likes + comments) * 1e0 / views)
+                                       * ((likes + comments) * 1e0 / views) ELSE 0e0 END) / count(*)), 6) AS moi_score,
                count(*) AS total_posts
         FROM posts_lean GROUP BY author""",
     "author_stats": """
         SELECT author, CASE WHEN avg(sentiment_score) > 50 THEN 'Movie Buff' ELSE 'Neutral Informer' END
                    AS audience_classification,
                CASE WHEN max(user_id) % 5 = 0 THEN 'Power Burst Poster' ELSE 'Steady Poster' END AS posting_style,
-               CASE WHEN max(user_id) % 5 = 0 THEN 1.0 ELSE round(count(*) / 200.0, 6) END AS branching_ratio,
+               CASE WHEN max(user_id) % 5 = 0 THEN 1e0 ELSE round(count(*) / 200e0, 6) END AS branching_ratio,
                count(*) AS total_posts
         FROM posts_lean GROUP BY author HAVING count(*) > 60""",
     "title_rev": """
@@ -164,7 +164,7 @@ VIEWS: dict[str, str] = {
                o.o_totalprice AS budget,
                CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE r.rev END AS revenue,
                CAST(90 + (o.o_orderkey * 13) % 140 AS DOUBLE) AS runtime_mins,
-               CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE 1000.0 + 50 * (year(o.o_orderdate) - 1990)
+               CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE 1000e0 + 50 * (year(o.o_orderdate) - 1990)
                     + 100 * (c.c_nationkey % 3) END AS gdp_usd_billions,
                CASE WHEN o.o_orderkey % 8 = 0 THEN NULL
                     ELSE CAST((o.o_orderkey * 7) % 12 AS DOUBLE) END AS inflation_rate_pct,
@@ -174,7 +174,7 @@ VIEWS: dict[str, str] = {
                     ELSE CAST((o.o_orderkey * 17) % 140 AS DOUBLE) END AS song_days_to_release,
                CASE WHEN o.o_orderkey % 5 = 0 THEN NULL
                     ELSE CAST((o.o_orderkey * 7919) % 100000 AS DOUBLE) END AS trailer_views,
-               CASE WHEN o.o_orderkey % 3 = 0 THEN 0.3 END AS conflict_balance_score,
+               CASE WHEN o.o_orderkey % 3 = 0 THEN 3e-1 END AS conflict_balance_score,
                CASE WHEN o.o_orderkey % 5 = 0 THEN NULL WHEN o.o_orderkey % 2 = 0 THEN 'Acme, Bolt'
                     ELSE 'Acme' END AS production_companies,
                CASE o.o_orderkey % 4 WHEN 0 THEN 'An official remake of a classic' WHEN 1 THEN NULL
@@ -205,6 +205,16 @@ VIEWS: dict[str, str] = {
                {at}(""" + _arr(PHRASES) + """, CAST(d.doc_id % 22 AS INT) + 1) || '.' AS text,
                CAST(o.o_orderdate AS DATE) AS pub_date
         FROM documents d JOIN orders o ON o.o_orderkey = (d.doc_id * 37) % 5000""",
+    "synopses": """
+        SELECT doc_id, text || ' ' || {at}(""" + _arr(CLAUSES) + """, CAST(doc_id % 7 AS INT) + 1) || '. ' ||
+               {at}(""" + _arr(CLAUSES) + """, CAST((doc_id * 3 + 1) % 7 AS INT) + 1) || '. ' ||
+               {at}(""" + _arr(CLAUSES) + """, CAST(floor(doc_id / 7) % 7 AS INT) + 1) || '.' AS text
+        FROM documents""",
+    "corpus": """
+        SELECT vec_id AS id, 'Saga ' || substr('abcdefghijklmnopqrstuvwxy', CAST(vec_id % 25 AS INT) + 1, 1) ||
+               CAST(floor(vec_id / 50) AS STRING) || 'q' || CASE vec_id % 3 WHEN 0 THEN ' Part 2' WHEN 1 THEN ': Origins' ELSE '' END AS name,
+               'g' || CAST(label AS STRING) AS genre, embedding AS vec
+        FROM embeddings""",
     "catalog_names": """
         SELECT p_partkey, p_name || ' ' || p_brand AS name, CAST(1990 + p_size AS INT) AS year FROM part""",
     "external_names": """
