@@ -31,13 +31,16 @@ def trigram_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold
         ordered = rows.groupBy(*block, "text").agg(  # at most as many grams as the text has letters
             F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
         size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-        return ordered.select(*block, "text", F.explode(F.slice("ordered", F.lit(1), size)).alias("o")).select(
-            *block, "text", F.col("o.gram").alias("gram"))
+        return ordered.select(*block, "text", "n", F.explode(F.slice("ordered", F.lit(1), size)).alias("o")).select(
+            *block, "text", "n", F.col("o.gram").alias("gram"))
 
-    pairs = (prefixes(a).join(prefixes(b).withColumnRenamed("text", "other"), [*block, "gram"])
-             .select(*block, "text", "other").distinct())
-    sim = C.trigram_similarity(C.trigrams("text"), C.trigrams("other"))
-    return pairs.withColumn("similarity", sim).filter(F.col("similarity") >= threshold)
+    near_size = (F.col("n") >= F.col("other_n") * threshold - 1e-9) & (F.col("other_n") >= F.col("n") * threshold - 1e-9)
+    other = prefixes(b).withColumnRenamed("text", "other").withColumnRenamed("n", "other_n")
+    pairs = prefixes(a).join(other, [*block, "gram"]).filter(near_size).select(*block, "text", "other").distinct()
+    both = (pairs.join(a, [*block, "text"])
+            .join(b.withColumnRenamed("text", "other").withColumnRenamed("grams", "other_grams"), [*block, "other"]))
+    return (both.withColumn("similarity", C.trigram_similarity("grams", "other_grams"))
+            .filter(F.col("similarity") >= threshold).drop("grams", "other_grams"))
 
 
 def retweet_match(posts: DataFrame, threshold: float = 0.6, compared: int = 40,
@@ -106,17 +109,18 @@ def nearest_neighbors(queries: DataFrame, pool: DataFrame, k: int, block_rows: i
     q = q.join(p_sizes, "grp").withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("np") - 1)))
     p = p.join(q_sizes, "grp").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)))
     keys = ["grp", "qb", "pb"]
+    p = p.select(*keys, "id", "vec").toDF("p_grp", "p_qb", "p_pb", "p_id", "p_vec")
 
-    def unit(pdf):
-        m = np.array(pdf["vec"].tolist(), dtype=np.float64)
+    def unit(vectors):
+        m = np.array(vectors.tolist(), dtype=np.float64)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(norm > 0, norm, 1.0)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "neighbor_id": [], "similarity": []})
-        lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-        sims = unit(left) @ unit(right).T
+        lid, rid = left["id"].to_numpy(), right["p_id"].to_numpy()
+        sims = unit(left["vec"]) @ unit(right["p_vec"]).T
         if skip_self:
             sims[lid[:, None] == rid[None, :]] = -np.inf
         order = np.lexsort((np.broadcast_to(rid, sims.shape), -sims), axis=1)[:, :k]
@@ -124,7 +128,7 @@ def nearest_neighbors(queries: DataFrame, pool: DataFrame, k: int, block_rows: i
         ok = np.isfinite(top)
         return pd.DataFrame({"id": np.repeat(lid, ok.sum(axis=1)), "neighbor_id": rid[order[ok]], "similarity": top[ok]})
 
-    parts = (q.select(*keys, "id", "vec").groupBy(*keys).cogroup(p.select(*keys, "id", "vec").groupBy(*keys))
+    parts = (q.select(*keys, "id", "vec").groupBy(*keys).cogroup(p.groupBy("p_grp", "p_qb", "p_pb"))
              .applyInPandas(best, "id long, neighbor_id long, similarity double"))
     w = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbor_id")
     return parts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)

@@ -19,50 +19,55 @@ def _literal_array(values) -> Column:
 
 
 def word_hits(text: Column, words) -> Column:
-    """Every whole-word hit of the vocabulary, in one scan of the lower-cased text."""
-    longest_first = sorted(words, key=lambda w: (-len(w), w))
-    pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(longest_first) + r")(?![\p{L}\p{N}_])"
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(1))
-
-
-def genre_scores(content: Column, keyword: Column, title: Column | None = None, platform: Column | None = None,
-                 media_type: Column | None = None, genres: dict | None = None) -> Column:
-    """Array of (genre, weight) with weight >= 1: content hits x1, keyword x2, Reddit title x1.5, media boosts."""
+    """Every whole-word hit of the vocabulary in the lower-cased text: tokens by hash lookup, phrases by pattern."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    single = [w for w in words if " " not in w]
+    hits = F.filter(F.split(lowered, WORD_BREAK), lambda w: w.isin(*single))
+    phrases = [w for w in words if " " in w]
+    if not phrases:
+        return hits
+    pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(phrases) + r")(?![\p{L}\p{N}_])"
+    return F.concat(hits, F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
+
+
+def weighted_hits(content: Column, keyword: Column, title: Column | None = None,
+                  platform: Column | None = None, genres: dict | None = None) -> Column:
+    """Array of (genre, weight) per vocabulary hit: content x1, keyword x2, Reddit title x1.5."""
     genres = genres or vocab.GENRE_WORDS
     words = sorted({w for ws in genres.values() for w in ws})
     fields = [(word_hits(content, words), 1.0), (word_hits(keyword, words), 2.0)]
     if title is not None:
-        on_reddit = F.when(platform == "reddit", title)
-        fields.append((word_hits(on_reddit, words), 1.5))
-    hits = F.flatten(F.array(*[F.transform(h, lambda w, k=k: F.struct(w.alias("w"), F.lit(k).alias("k")))
-                               for h, k in fields]))
-    boost = F.lit(1.0)
-    if media_type is not None:
-        m = F.when(platform == "instagram", F.upper(media_type))
-        video, carousel = m.isin("VIDEO", "REEL", "REELS"), m.isin("CAROUSEL_ALBUM", "CAROUSEL")
-    # the hits are short; the genre of each is looked up once and summed per genre
+        fields.append((word_hits(F.when(platform == "reddit", title), words), 1.5))
     owner = F.create_map(*[x for g, ws in genres.items() for w in ws for x in (F.lit(w), F.lit(g))])
-    owned = F.transform(hits, lambda h: F.struct(F.element_at(owner, h["w"]).alias("g"), h["k"].alias("k")))
 
-    def scored(g):
-        total = F.aggregate(F.filter(owned, lambda h: h["g"] == g), F.lit(0.0), lambda acc, h: acc + h["k"])
-        if media_type is None:
-            return total * boost
-        return total * F.when(video & g.isin("Action", "Sports", "Music"), 1.5).when(carousel, 1.1).otherwise(1.0)
+    def owned(hits, weight):
+        return F.transform(hits, lambda w: F.struct(F.element_at(owner, w).alias("g"), F.lit(weight).alias("k")))
+
+    return F.concat(*[owned(h, k) for h, k in fields])
+
+
+def genre_scores(hits: Column, platform: Column, media_type: Column, genres: dict | None = None) -> Column:
+    """Array of (genre, weight) with weight >= 1, after the Instagram media boosts."""
+    m = F.when(platform == "instagram", F.upper(media_type))
+    carousel = F.when(m.isin("CAROUSEL_ALBUM", "CAROUSEL"), 1.1).otherwise(1.0)
+    video = F.when(m.isin("VIDEO", "REEL", "REELS"), 1.5).otherwise(carousel)
+
+    def pair(g):
+        total = F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + F.when(h["g"] == g, h["k"]).otherwise(0.0))
+        boost = video if g in ("Action", "Sports", "Music") else carousel
+        return F.struct(F.lit(g).alias("genre"), (total * boost).alias("weight"))
 
-    found = F.array_distinct(F.transform(owned, lambda h: h["g"]))
-    pairs = F.transform(found, lambda g: F.struct(g.alias("genre"), scored(g).alias("weight")))
-    return F.filter(pairs, lambda p: p["weight"] >= 1.0)
+    return F.filter(F.array(*[pair(g) for g in genres or vocab.GENRE_WORDS]), lambda p: p["weight"] >= 1.0)
 
 
 def label_posts(posts: DataFrame, title_weight: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per (post, genre); the text itself is dropped so that later shuffles stay narrow."""
     content = F.when(F.col("platform") == "reddit", F.trim(F.concat_ws(" ", "title", "text"))).otherwise(F.col("text"))
-    labels = genre_scores(content, F.col("keyword"), F.col("title") if title_weight else None, F.col("platform"),
-                          F.col("media_type"))
+    hits = weighted_hits(content, F.col("keyword"), F.col("title") if title_weight else None, F.col("platform"))
     keep = keep or [c for c in posts.columns if c not in ("text", "title")]
-    return (posts.select(*keep, F.explode(labels).alias("label_"))
-            .select(*keep, "label_.genre", "label_.weight"))
+    scores = genre_scores(F.col("hits_"), F.col("platform"), F.col("media_type"))
+    return (posts.select(*keep, hits.alias("hits_")).filter(F.size("hits_") > 0)
+            .select(*keep, F.explode(scores).alias("label_")).select(*keep, "label_.genre", "label_.weight"))
 
 
 def genre_catalog(spark) -> DataFrame:

@@ -212,7 +212,7 @@ VIEWS: dict[str, str] = {
         FROM documents""",
     "corpus": """
         SELECT vec_id AS id, 'Saga ' || substr('abcdefghijklmnopqrstuvwxy', CAST(vec_id % 25 AS INT) + 1, 1) ||
-               CAST(floor(vec_id / 50) AS STRING) || 'q' || CASE vec_id % 3 WHEN 0 THEN ' Part 2' WHEN 1 THEN ': Origins' ELSE '' END AS name,
+               CAST(CAST(floor(vec_id / 50) AS BIGINT) AS STRING) || 'q' || CASE vec_id % 3 WHEN 0 THEN ' Part 2' WHEN 1 THEN ': Origins' ELSE '' END AS name,
                'g' || CAST(label AS STRING) AS genre, embedding AS vec
         FROM embeddings""",
     "catalog_names": """
@@ -233,6 +233,17 @@ def _names_in(text: str, pool) -> list[str]:
     return [n for n in pool if n in found]
 
 
+WIDE_WORK = {"events", "documents"}
+
+
+def read_spread(spark: SparkSession, path: str, spread: bool) -> DataFrame:
+    """Read Parquet. A table in fewer files than cores is spread over the cores when costly per-row work follows;
+    a table in many files keeps its file splits and is not shuffled."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and len(df.inputFiles()) < cores else df
+
+
 class Tables:
     """Lazy access to base tables and derived views of one data folder: ``t.posts``, ``t.lineitem``."""
 
@@ -243,7 +254,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in BASE:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = read_spread(self.spark, f"{self.sf_dir}/{name}.parquet", name in WIDE_WORK)
             elif name in VIEWS:
                 text = VIEWS[name]
                 deps = _names_in(text, BASE + list(VIEWS))
