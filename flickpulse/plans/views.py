@@ -145,7 +145,7 @@ VIEWS: dict[str, str] = {
                count(*) AS total_posts
         FROM posts_lean GROUP BY author HAVING count(*) > 60""",
     "title_rev": """
-        SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS rev, count(*) AS n_lines,
+        SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS rev, count(*) AS n_lines,
                sum(l_quantity) AS qty
         FROM lineitem GROUP BY l_orderkey""",
     "titles": """
@@ -191,7 +191,7 @@ VIEWS: dict[str, str] = {
         FROM lineitem l JOIN titles t ON t.title_id = l.l_orderkey""",
     "market_index": """
         SELECT 'COMPOSITE' AS index_name, CAST(l_shipdate AS DATE) AS trade_date,
-               round(avg(l_extendedprice), 4) AS close
+               round(avg(l_extendedprice), 8) AS close
         FROM lineitem WHERE weekday(CAST(l_shipdate AS DATE)) {weekend} GROUP BY CAST(l_shipdate AS DATE)""",
     "ticket_prices": """
         SELECT tier AS city_tier, CAST(min(d) AS DATE) AS period_start, CAST(max(d) AS DATE) AS period_end,
@@ -215,6 +215,17 @@ VIEWS: dict[str, str] = {
                CAST(CAST(floor(vec_id / 50) AS BIGINT) AS STRING) || 'q' || CASE vec_id % 3 WHEN 0 THEN ' Part 2' WHEN 1 THEN ': Origins' ELSE '' END AS name,
                'g' || CAST(label AS STRING) AS genre, embedding AS vec
         FROM embeddings""",
+    "macro": """
+        SELECT CASE c.c_nationkey % 3 WHEN 0 THEN 'IND' ELSE 'USA' END AS iso3, year(o.o_orderdate) AS year,
+               round(avg(o.o_totalprice) / 100, 4) AS gdp_usd_billions, round(avg(c.c_acctbal) / 1000, 4) AS inflation_rate_pct
+        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE c.c_nationkey % 3 < 2
+        GROUP BY CASE c.c_nationkey % 3 WHEN 0 THEN 'IND' ELSE 'USA' END, year(o.o_orderdate)""",
+    "factor_values": """
+        SELECT o_orderkey AS title_id, 'shipping_pace' AS factor_key,
+               CAST(o_orderkey % 97 AS DOUBLE) AS value_numeric FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL
+        SELECT o_orderkey AS title_id, 'priority_level' AS factor_key,
+               CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS value_numeric FROM orders""",
     "catalog_names": """
         SELECT p_partkey, p_name || ' ' || p_brand AS name, CAST(1990 + p_size AS INT) AS year FROM part""",
     "external_names": """
