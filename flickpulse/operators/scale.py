@@ -5,17 +5,17 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that later steps survive lost executors.
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, taken from ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a local session without that setting gets its own folder.
+    Only a local session without that setting gets its own folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None:
@@ -23,6 +23,12 @@ def stage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="flickpulse-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, so that later steps survive lost executors."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

@@ -191,7 +191,7 @@ VIEWS: dict[str, str] = {
         FROM lineitem l JOIN titles t ON t.title_id = l.l_orderkey""",
     "market_index": """
         SELECT 'COMPOSITE' AS index_name, CAST(l_shipdate AS DATE) AS trade_date,
-               round(avg(l_extendedprice), 8) AS close
+               max(l_extendedprice) AS close
         FROM lineitem WHERE weekday(CAST(l_shipdate AS DATE)) {weekend} GROUP BY CAST(l_shipdate AS DATE)""",
     "ticket_prices": """
         SELECT tier AS city_tier, CAST(min(d) AS DATE) AS period_start, CAST(max(d) AS DATE) AS period_end,
@@ -258,9 +258,13 @@ def read_spread(spark: SparkSession, path: str, spread: bool) -> DataFrame:
 class Tables:
     """Lazy access to base tables and derived views of one data folder: ``t.posts``, ``t.lineitem``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: str | None = None):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        if streamed:  # this base table is read as a stream of its files
+            schema = spark.read.parquet(f"{sf_dir}/{streamed}.parquet").schema
+            self._made[streamed] = (spark.readStream.schema(schema).option("pathGlobFilter", f"{streamed}.parquet")
+                                    .parquet(sf_dir))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._made:
