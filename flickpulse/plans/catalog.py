@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from flickpulse.plans import cat_daily, cat_misc, cat_posts, cat_text, cat_timeline, cat_titles
+from flickpulse.plans import cat_daily, cat_misc, cat_models, cat_posts, cat_text, cat_timeline, cat_titles
 
-assert cat_posts and cat_daily and cat_timeline and cat_text and cat_titles and cat_misc
+assert cat_posts and cat_daily and cat_timeline and cat_text and cat_titles and cat_misc and cat_models
