@@ -143,7 +143,7 @@ PCT = """
 
 
 @query("formula_statistics", PCT + """
-    SELECT formula, round(value, 3) AS value, NULL AS issue FROM (
+    SELECT formula, round(value, 3) AS value, NULL::VARCHAR AS issue FROM (
       SELECT unnest(['count','sum','mean','min','max','std_dev','variance']) AS formula,
              unnest([count(*)::double, sum(o_totalprice), avg(o_totalprice), min(o_totalprice), max(o_totalprice),
                      stddev_samp(o_totalprice), NULL]) AS value FROM orders
@@ -161,7 +161,7 @@ def formula_statistics(t):
                      / arg_min(l_quantity, (l_orderkey, l_partkey, l_linenumber, l_extendedprice)) - 1, 4),
                    round(pow(arg_max(l_quantity, (l_orderkey, l_partkey, l_linenumber, l_extendedprice))
                      / arg_min(l_quantity, (l_orderkey, l_partkey, l_linenumber, l_extendedprice)), 1/10.0) - 1, 4)]) AS value,
-           NULL AS issue FROM lineitem""", digits=4)
+           NULL::VARCHAR AS issue FROM lineitem""", digits=4)
 def formula_paired(t):
     li = t.lineitem
     order = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"]
@@ -170,7 +170,7 @@ def formula_paired(t):
 
 
 @query("formula_expression", """
-    SELECT 'spread' AS formula, round((max(o_totalprice) - min(o_totalprice)) / avg(o_totalprice),6) AS value, NULL AS issue
+    SELECT 'spread' AS formula, round((max(o_totalprice) - min(o_totalprice)) / avg(o_totalprice),6) AS value, NULL::VARCHAR AS issue
     FROM orders""")
 def formula_expression(t):
     return M.expression(M.statistics(t.orders, "o_totalprice"), "spread", "(max - min) / mean")

@@ -12,6 +12,7 @@ from flickpulse.operators import scale
 from flickpulse.operators import text as X
 from flickpulse.operators import timeline as TL
 from flickpulse.plans.cat_text import NOUNS
+from flickpulse.plans.cat_timeline import AUDIT, LEVELS
 from flickpulse.plans.registry import query
 from flickpulse.sources import files as S
 
@@ -149,14 +150,31 @@ def persona_profiles(t):
     return p.withColumn("by_platform", F.to_json("by_platform"))
 
 
-@query("user_report")
+@query("user_report", AUDIT + """,
+    sx AS (SELECT author, count(*) FILTER (sentiment_score > 75) AS positive, count(*) FILTER (sentiment_score < 50) AS negative,
+                  (count(*) FILTER (sentiment_score > 75) - count(*) FILTER (sentiment_score < 50))/count(*) AS net,
+                  count(*) FILTER (burst > 0) AS in_burst FROM bur GROUP BY 1)
+    SELECT f.author, f.n, round(alpha,5) AS alpha, round(branching_ratio,5) AS branching_ratio, positive, negative,
+           round(net,6)+0.0 AS net, in_burst, n_regions, largest AS largest_burst, platform AS primary_platform,
+           CASE WHEN net >= 0.3 THEN 'Predominantly Positive' WHEN net >= 0.05 THEN 'Leaning Positive'
+                WHEN net > -0.05 THEN 'Mixed / Neutral' WHEN net > -0.3 THEN 'Leaning Negative'
+                ELSE 'Predominantly Negative' END AS sentiment_label
+    FROM fit f JOIN sx USING (author) JOIN pp USING (author) LEFT JOIN rg USING (author)""", recursive=True)
 def user_report(t):
-    return R.report(t.posts_bursty, "author")
+    return R.report(t.posts_bursty, "author").select(
+        "author", "n", F.round("alpha", 5).alias("alpha"), F.round("branching_ratio", 5).alias("branching_ratio"), "positive",
+        "negative", "net", "in_burst", "n_regions", "largest_burst", "primary_platform", "sentiment_label")
 
 
-@query("user_report_topics")
+@query("user_report_topics", AUDIT + "," + LEVELS + """
+    SELECT b.author, keyword, count(*) AS n, round(avg(sentiment_score),5) AS mean_sentiment,
+           count(*) FILTER (burst > 0) AS in_burst, round(avg((sentiment_score > 75)::int),5) AS positive_share,
+           round(avg(spike),4) AS mean_spike
+    FROM bur b JOIN lv ON lv.author = b.author AND lv.post_id = b.post_id GROUP BY 1, 2""", recursive=True)
 def user_report_topics(t):
-    return R.topic_table(t.posts_bursty, "author")
+    r = lambda c, d: F.round(c, d).alias(c)
+    return R.topic_table(t.posts_bursty, "author").select(
+        "author", "keyword", "n", r("mean_sentiment", 5), "in_burst", r("positive_share", 5), r("mean_spike", 4))
 
 
 @query("user_report_flags")

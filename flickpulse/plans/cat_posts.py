@@ -10,8 +10,8 @@ from flickpulse.operators import reach as R
 from flickpulse.plans.registry import query
 from flickpulse.sources import posts as P
 
-SCORE = ("(3.0*coalesce(comments,0) + CASE WHEN platform='x' THEN 2.0*coalesce(shares,0) ELSE 0 END "
-         "+ 1.5*coalesce(likes,0) + CASE WHEN platform='x' THEN 1.0*coalesce(views,0) ELSE 0 END)")
+SCORE = ("(3e0*coalesce(comments,0) + CASE WHEN platform='x' THEN 2e0*coalesce(shares,0) ELSE 0 END "
+         "+ 15e-1*coalesce(likes,0) + CASE WHEN platform='x' THEN 1e0*coalesce(views,0) ELSE 0 END)")
 REACH = "(CASE platform WHEN 'x' THEN views WHEN 'reddit' THEN comments ELSE likes END)"
 
 

@@ -12,6 +12,7 @@ from flickpulse.operators import similarity as S
 from flickpulse.operators import text as X
 from flickpulse.plans.cat_daily import LINKED
 from flickpulse.plans.cat_posts import REACH, SCORE
+from flickpulse.plans.cat_timeline import excite_sql, fit_sql
 from flickpulse.plans.registry import query
 from flickpulse.sources import posts as P
 
@@ -150,7 +151,14 @@ def top_movie_genres(t):
     return X.top_movie_genres(labelled(t), t.posts_lean, kg, mention_scores(t))
 
 
-@query("genre_spreaders", None)
+@query("genre_spreaders", GENRE + """,
+    gp AS (SELECT genre || '|' || author AS author, post_id, us FROM labels_ JOIN posts_lean USING (post_id)
+           WHERE sentiment_score BETWEEN 1 AND 100),""" + excite_sql("gp", 3.0, "3600000000.0", "us - us % 1000000") + ","
+       + fit_sql(3.0, "3600000000.0") + """,
+    ga AS (SELECT split_part(author, '|', 1) AS genre, split_part(author, '|', 2) AS author, n, alpha FROM fit),
+    cu AS (SELECT genre, quantile_cont(alpha, 0.95) AS cutoff FROM ga GROUP BY 1)
+    SELECT genre, author, n, round(alpha,4) AS alpha FROM ga JOIN cu USING (genre) WHERE alpha >= cutoff AND alpha > 1e-9""",
+       recursive=True)
 def genre_spreaders(t):
     from flickpulse.operators import timeline as TL
     hits = P.valid_sentiment(labelled(t))
@@ -158,7 +166,7 @@ def genre_spreaders(t):
     from flickpulse.operators import scale
     fits = scale.stage(fits)
     cut = scale.exact_quantiles(fits, "alpha", {"cutoff": 0.95}, ("genre",))
-    return fits.join(cut, "genre").filter("alpha >= cutoff").select("genre", "author", "n",
+    return fits.join(cut, "genre").filter("alpha >= cutoff AND alpha > 1e-9").select("genre", "author", "n",
                                                                     F.round("alpha", 4).alias("alpha"))
 
 

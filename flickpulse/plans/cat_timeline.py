@@ -118,6 +118,7 @@ def interarrival(t):
                                                             (F.col("us") - F.col("previous_us")).alias("gap_us"))
 
 
+VALID = "(SELECT * FROM posts_bursty WHERE sentiment_score BETWEEN 1 AND 100)"
 BURST = """
     num AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY us, post_id) AS i FROM posts_bursty),
     cnt AS (SELECT a.author, a.i, a.us, count(*) AS c FROM num a JOIN num b
@@ -144,7 +145,31 @@ def burst_regions(t):
     return TL.burst_regions(TL.bursts(t.posts_bursty, ["author"]), ["author"])
 
 
-@query("author_categories", None)
+REGIONS = """
+    lagged AS (SELECT *, CASE WHEN burst > 0 AND coalesce(lag(burst) OVER (PARTITION BY author ORDER BY i), 0) = 0
+                    THEN 1 ELSE 0 END AS starts FROM bur),
+    grp AS (SELECT *, sum(starts) OVER (PARTITION BY author ORDER BY i) AS g FROM lagged),
+    reg AS (SELECT author, g, count(*) AS n FROM grp WHERE burst > 0 GROUP BY 1, 2),
+    rg AS (SELECT author, count(*) AS n_regions, max(n) AS largest FROM reg GROUP BY 1),
+    tn AS (SELECT author, tone, count(*) AS n FROM (SELECT author, CASE WHEN sentiment_score < 50 THEN 'negative'
+             WHEN sentiment_score > 75 THEN 'positive' ELSE 'neutral' END AS tone FROM pv) q GROUP BY 1, 2
+           QUALIFY row_number() OVER (PARTITION BY author ORDER BY count(*) DESC, tone) = 1),
+    pp AS (SELECT author, platform, count(*) AS n FROM pv GROUP BY 1, 2
+           QUALIFY row_number() OVER (PARTITION BY author ORDER BY count(*) DESC, platform) = 1)"""
+AUDIT = MINUTE_SQL + "," + BURST.replace("FROM posts_bursty", "FROM " + VALID) + "," + REGIONS
+
+
+@query("author_categories", AUDIT + """
+    SELECT f.author, CASE WHEN tone = 'negative' AND branching_ratio >= 0.7 THEN 'Critical Power Influencer'
+             WHEN tone = 'negative' THEN 'Active Critic' WHEN tone = 'positive' AND branching_ratio >= 0.7 THEN 'Movie Buff'
+             WHEN tone = 'positive' THEN 'Positive Engager' ELSE 'Neutral Informer' END AS audience_classification,
+           CASE WHEN branching_ratio >= 0.8 THEN 'Viral Node' WHEN branching_ratio >= 0.6 THEN 'Amplifier'
+                WHEN branching_ratio >= 0.3 THEN 'Participant' ELSE 'Observer' END AS influence_tier,
+           CASE WHEN n_regions IS NULL THEN 'Steady Poster' WHEN largest >= 10 THEN 'Power Burst Poster'
+                WHEN n_regions >= 2 THEN 'Burst Poster' ELSE 'Reactive Poster' END AS posting_style,
+           tone AS dominant_tone, platform AS primary_platform, floor(branching_ratio*10000+0.5)/10000 AS branching_ratio,
+           f.n AS total_posts
+    FROM fit f JOIN tn USING (author) JOIN pp USING (author) LEFT JOIN rg USING (author) WHERE f.n > 5""", recursive=True)
 def author_categories(t):
     return A.author_categories(t.posts_bursty)
 

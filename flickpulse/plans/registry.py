@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flickpulse.plans.casts import with_casts
 from flickpulse.plans.views import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +40,7 @@ def query(key: str, sql: str | None = None, recursive: bool = False, digits: int
         assert key not in QUERIES, key
         QUERIES[key] = run
         if sql is not None:
-            ORACLES[key] = oracle(sql, recursive)
+            ORACLES[key] = with_casts(key, oracle(sql, recursive))
         return fn
 
     return wrap
