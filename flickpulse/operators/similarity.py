@@ -26,21 +26,27 @@ def trigram_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold
     counts = (a.select(F.explode("grams").alias("gram")).unionAll(b.select(F.explode("grams").alias("gram")))
               .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
 
-    def prefixes(df):
-        rows = df.select(*block, "text", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram")
-        ordered = rows.groupBy(*block, "text").agg(  # at most as many grams as the text has letters
-            F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
-        size = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-        return ordered.select(*block, "text", "n", F.explode(F.slice("ordered", F.lit(1), size)).alias("o")).select(
-            *block, "text", "n", F.col("o.gram").alias("gram"))
-
-    near_size = (F.col("n") >= F.col("other_n") * threshold - 1e-9) & (F.col("other_n") >= F.col("n") * threshold - 1e-9)
-    other = prefixes(b).withColumnRenamed("text", "other").withColumnRenamed("n", "other_n")
-    pairs = prefixes(a).join(other, [*block, "gram"]).filter(near_size).select(*block, "text", "other").distinct()
-    both = (pairs.join(a, [*block, "text"])
-            .join(b.withColumnRenamed("text", "other").withColumnRenamed("grams", "other_grams"), [*block, "other"]))
-    return (both.withColumn("similarity", C.trigram_similarity("grams", "other_grams"))
-            .filter(F.col("similarity") >= threshold).drop("grams", "other_grams"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def prefixes(df, text, grams, prefix):
+        rows = df.select(*block, "text", "grams", F.explode("grams").alias("gram")).join(counts, "gram")
+        # the texts are few bytes and much work: a fixed number of partitions keeps them from being coalesced into one
+        spread = rows.repartition(parts, *block, "text", "grams")
+        ordered = spread.groupBy(*block, "text", "grams").agg(  # at most as many grams as the text has letters
+            F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
+        n = F.size("grams")
+        size = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+        cut = F.transform(F.slice("o", F.lit(1), size), lambda x: x["gram"])
+        return ordered.select(*block, F.col("text").alias(text), F.col("grams").alias(grams), cut.alias(prefix)).withColumn(
+            "gram", F.explode(prefix))
+
+    met = prefixes(a, "text", "grams", "p").join(prefixes(b, "other", "other_grams", "q"), [*block, "gram"])
+    n, m = F.size("grams"), F.size("other_grams")
+    near_size = (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9)
+    # a pair meets on every shared prefix gram and is kept on the first one only, so nothing is left to deduplicate
+    once = met.filter(near_size).filter(F.array_intersect("p", "q")[0] == F.col("gram"))
+    return (once.withColumn("similarity", C.trigram_similarity("grams", "other_grams"))
+            .filter(F.col("similarity") >= threshold).select(*block, "text", "other", "similarity"))
 
 
 def retweet_match(posts: DataFrame, threshold: float = 0.6, compared: int = 40,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def word_hits(text: Column, words) -> Column:
     if not phrases:
         return hits
     pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(phrases) + r")(?![\p{L}\p{N}_])"
-    return F.concat(hits, F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
+    possible = reduce(lambda x, y: x | y, [F.contains(lowered, F.lit(p)) for p in phrases])  # cheap test first
+    return F.when(possible, F.concat(hits, F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))).otherwise(hits)
 
 
 def weighted_hits(content: Column, keyword: Column, title: Column | None = None,

@@ -144,6 +144,8 @@ def track_record(titles: DataFrame, credits: DataFrame) -> DataFrame:
 
     titles: movie_key, release_year, directors; credits: as from :func:`clean_credits` with financials.
     """
+    credits = scale.stage(credits.select("movie_key", "actor_key", "director_key", "year", "role_position", "role_wt",
+                                         "ratio", "hit"))
     known = F.col("hit").isNotNull().cast("int")
     history = credits.select("actor_key", "year", F.lit(1).alias("n"), F.coalesce("hit", F.lit(0.0)).alias("hits"),
                              known.alias("known"), F.coalesce("ratio", F.lit(0.0)).alias("ratios"))

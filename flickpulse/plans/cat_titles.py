@@ -42,7 +42,7 @@ def cleaned(t):
 
 
 def deduped(t):
-    return T.dedupe(T.row_filter(cleaned(t), min_year=1900))
+    return scale.stage(T.dedupe(T.row_filter(cleaned(t), min_year=1900)))
 
 
 def credits(t, financials: bool = True):
