@@ -127,12 +127,12 @@ def mention_scores(t):
 
 
 @query("viewer_affinity", MG + """
-    SELECT s.author, s.genre, round(genre_score,6) AS genre_score, round(genre_score/total,5) AS genre_affinity,
+    SELECT s.author, s.genre, round(genre_score,6) AS genre_score, round(ln(genre_score/total),6)+0.0 AS ln_affinity,
            round(1/(1+exp(-genre_score/total*influence_rank)),6) AS p_conv
     FROM mg s JOIN (SELECT author, sum(genre_score) AS total FROM mg WHERE genre_score > 0 GROUP BY 1) t USING (author)
     JOIN profiles p ON p.global_user_id = s.author WHERE genre_score > 1.0""")
 def viewer_affinity(t):
-    return X.viewer_affinity(mention_scores(t), t.profiles).select("author", "genre", "genre_score", F.round("genre_affinity", 5).alias("genre_affinity"),
+    return X.viewer_affinity(mention_scores(t), t.profiles).select("author", "genre", "genre_score", F.log("genre_affinity").alias("ln_affinity"),
                                                                    "p_conv")
 
 
