@@ -22,7 +22,7 @@ def trigram_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold
     def side(df):
         return df.select(*block, "text").distinct().withColumn("grams", C.trigrams("text")).filter(F.size("grams") > 0)
 
-    a, b = side(left), side(right)
+    a, b = scale.stage(side(left)), scale.stage(side(right))  # short distinct texts, each used three times
     counts = (a.select(F.explode("grams").alias("gram")).unionAll(b.select(F.explode("grams").alias("gram")))
               .groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
 
@@ -37,14 +37,17 @@ def trigram_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold
         n = F.size("grams")
         size = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
         cut = F.transform(F.slice("o", F.lit(1), size), lambda x: x["gram"])
-        return ordered.select(*block, F.col("text").alias(text), F.col("grams").alias(grams), cut.alias(prefix)).withColumn(
-            "gram", F.explode(prefix))
+        return ordered.select(*block, F.col("text").alias(text), F.col("grams").alias(grams), cut.alias(prefix)).select(
+            "*", F.posexplode(prefix).alias(prefix + "_at", "gram"))
 
     met = prefixes(a, "text", "grams", "p").join(prefixes(b, "other", "other_grams", "q"), [*block, "gram"])
-    n, m = F.size("grams"), F.size("other_grams")
+    n, m, i, j = F.size("grams"), F.size("other_grams"), F.col("p_at"), F.col("q_at")
     near_size = (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9)
+    # with the first shared gram at positions i and j, at most this many grams can be shared
+    enough = F.least(n - i, m - j) >= (n + m) * (threshold / (1 + threshold)) - 1e-9
     # a pair meets on every shared prefix gram and is kept on the first one only, so nothing is left to deduplicate
-    once = met.filter(near_size).filter(F.array_intersect("p", "q")[0] == F.col("gram"))
+    first = ~F.arrays_overlap(F.slice("p", F.lit(1), i), F.slice("q", F.lit(1), j))
+    once = met.filter(near_size & enough).filter(first)
     return (once.withColumn("similarity", C.trigram_similarity("grams", "other_grams"))
             .filter(F.col("similarity") >= threshold).select(*block, "text", "other", "similarity"))
 
@@ -55,13 +58,16 @@ def retweet_match(posts: DataFrame, threshold: float = 0.6, compared: int = 40,
 
     The platform cuts quoted texts, so the definition compares the first ``compared`` characters of both sides.
     """
-    handle = C.normalize_author(C.retweet_handle("text"))
-    rts = (posts.withColumn("handle", handle).filter(F.col("handle").isNotNull())
-           .select(F.col("post_id").alias("rt_id"), F.col("us").alias("rt_us"), "handle",
-                   F.substring(C.retweet_body("text"), 1, compared).alias("text")).filter(F.trim("text") != ""))
-    originals = (posts.filter(C.retweet_handle("text").isNull())
-                 .select("post_id", "us", C.normalize_author("author").alias("handle"),
-                         F.substring("text", 1, compared).alias("text")).filter(F.col("handle").isNotNull()))
+    quoted = C.retweet_handle("text")
+    cut = F.when(quoted.isNotNull(), F.substring(C.retweet_body("text"), 1, compared)).otherwise(
+        F.substring("text", 1, compared))
+    # one scan of the texts; everything after works on the short narrow rows
+    narrow = scale.stage(posts.select("post_id", "us", quoted.isNotNull().alias("is_rt"), cut.alias("text"), F.when(
+        quoted.isNotNull(), C.normalize_author(quoted)).otherwise(C.normalize_author("author")).alias("handle"))
+        .filter(F.col("handle").isNotNull()))
+    rts = (narrow.filter("is_rt").filter(F.trim("text") != "")
+           .select(F.col("post_id").alias("rt_id"), F.col("us").alias("rt_us"), "handle", "text"))
+    originals = narrow.filter("NOT is_rt").select("post_id", "us", "handle", "text")
     pairs = trigram_pairs(rts, originals, ["handle"], threshold)
     wanted = rts.join(pairs, ["handle", "text"]).drop("text")
     found = scale.asof_prior(
