@@ -206,7 +206,8 @@ def uncategorized_anti(t):
 @query("movie_buffs", f"""
     u AS (SELECT author, count(*) AS post_count, sum({REACH}) AS total_engagement,
                  avg(sentiment_score) FILTER (sentiment_score BETWEEN 1 AND 100) AS s
-          FROM posts_lean WHERE lower(keyword) IN ('kw3', 'kw10', 'kw21') GROUP BY author)
+          FROM posts_lean WHERE lower(keyword) IN (SELECT lower(b.keyword) FROM entity_keywords a
+               JOIN entity_keywords b ON b.entity_id = a.entity_id WHERE lower(a.keyword) = 'kw3') GROUP BY author)
     SELECT u.author AS global_user_id, post_count, total_engagement, a.branching_ratio,
            a.author IS NOT NULL AS categorized,
            coalesce(posting_style = 'Power Burst Poster' AND branching_ratio >= 0.99
