@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,10 +27,21 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that later steps survive lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, later steps survive lost executors
+    and read only the columns they need. Shuffle files of the write are removed as soon as it is done."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def value_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
