@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import substring_dedup
+from flickpulse.llm import minhash_dedup, substring_dedup
 from flickpulse.llm.registry import query, table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op4_minhash_dedup", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    places AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, least(len(w), 1)))) AS i FROM d),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS k FROM places),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    meets AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y USING (k) WHERE x.doc_id <> y.doc_id
+              GROUP BY ALL),
+    links AS (SELECT a, b FROM meets JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+              WHERE 100 * inter >= 80 * (p.n + q.n - inter)),
+    reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reach JOIN links ON a = other)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+    FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents, one row per document."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op6_substring_dedup", f"""
     WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
     p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
