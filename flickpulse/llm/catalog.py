@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import minhash_dedup, substring_dedup
+from flickpulse.llm import minhash_dedup, quality_classifier, quality_rules, substring_dedup
 from flickpulse.llm.registry import query, table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return quality_classifier.classify(docs, model).select(
+        "doc_id", quality_rules.held_out("doc_id").alias("held_out"), score,
+        (score >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -31,6 +42,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model).select("doc_id", *quality_rules.COUNTS, "base_failed",
+                                                   F.col("keep_").alias("kept"), "score")
+
+
 @query("op6_substring_dedup", f"""
     WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
     p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
