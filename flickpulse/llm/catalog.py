@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import minhash_dedup, quality_classifier, quality_rules, substring_dedup
+from flickpulse.llm import minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
 from flickpulse.llm.registry import query, table
 
+
+
+def word_bpe() -> str:
+    """Path of the word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -69,3 +78,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(docs).select(
         "doc_id", F.col("n_words_").alias("n_words"), F.col("n_removed_").alias("n_removed"),
         F.sha2("kept_text_", 256).alias("kept_sha256"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
