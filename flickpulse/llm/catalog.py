@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from flickpulse.llm import line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
 from flickpulse.llm.registry import query, table
 
 
@@ -84,3 +84,29 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query("op1_line_dedup", r"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                          unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+    worded AS (SELECT doc_id, i, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM lines),
+    uniq AS (SELECT w, len(w) AS n, min(doc_id * 1000000 + i) AS place FROM worded WHERE len(w) > 0 GROUP BY w),
+    long_ AS (SELECT * FROM uniq WHERE n >= 8),
+    keyed AS (SELECT w, n, place, 'first' AS side, n + m AS longer, w[1:(n + m) // 2] AS half FROM long_, range(2) t(m)
+              UNION ALL SELECT w, n, place, 'second', n + m, w[n - (n + m - (n + m) // 2) + 1:] FROM long_, range(2) t(m)),
+    pairs AS (SELECT DISTINCT x.w AS w, x.place AS place, y.w AS v FROM keyed x JOIN keyed y USING (side, longer, half)
+              WHERE y.place < x.place AND abs(x.n - y.n) <= 1),
+    near AS (SELECT DISTINCT w FROM pairs WHERE CASE
+        WHEN len(w) = len(v) THEN len(list_filter(range(1, len(w) + 1), lambda j: w[j] <> v[j])) <= 1
+        WHEN len(w) > len(v) THEN len(list_filter(range(1, len(w) + 1), lambda j: w[:j - 1] || w[j + 1:] = v)) > 0
+        ELSE len(list_filter(range(1, len(v) + 1), lambda j: v[:j - 1] || v[j + 1:] = w)) > 0 END),
+    judged AS (SELECT doc_id, i, line, coalesce(place <> doc_id * 1000000 + i OR near.w IS NOT NULL, false) AS gone
+               FROM worded LEFT JOIN uniq USING (w) LEFT JOIN near USING (w))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier line, exactly or but for one word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_lines(docs).select("doc_id", F.col("n_lines_").alias("n_lines"),
+                                                F.col("n_removed_").alias("n_removed"), F.sha2("kept_text_", 256).alias("kept_sha256"))
