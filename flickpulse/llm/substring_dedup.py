@@ -30,32 +30,45 @@ PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 RANGE_ENTRIES = 500_000
-FLUSH_ENTRIES = 3_000_000
+FLUSH_ENTRIES = 1_000_000
 
-_FOUND = "range_ int, hashes binary, tails binary, docs binary, prints binary, places binary"
-_HITS = "doc_ long, print_ long, hit_places binary"
-_ALL = f"{_FOUND}, {_HITS}"
+_FOUND = "range_ int, group_ int, hashes binary, tails binary, docs binary, prints binary, places binary"
+_HITS = "group_ int, docs binary, prints binary, places binary"
 
 
-def _pack(ranges: int, h: np.ndarray, tail: np.ndarray | None, doc: np.ndarray, fp: np.ndarray,
-          place: np.ndarray) -> pa.RecordBatch:
-    """One row per range of hash values; ``tail`` are further hash bits (none: the high half of ``h`` is enough)."""
-    part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def _cut(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every number in ``part`` with the places that have it."""
     order = np.argsort(part, kind="stable")
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]))
-    rows = {k: [] for k in ("range_", "hashes", "tails", "docs", "prints", "places")}
     for s, e in zip(cuts[:-1], cuts[1:]):
-        if s == e:
-            continue
-        at = order[s:e]
-        rows["range_"].append(int(part[at[0]]))
-        rows["hashes"].append(h[at].tobytes())
-        rows["tails"].append(b"" if tail is None else tail[at].tobytes())
-        rows["docs"].append(doc[at].tobytes())
-        rows["prints"].append(fp[at].tobytes())
-        rows["places"].append(place[at].astype(np.int32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(rows["range_"], pa.int32())] + [B.binary(rows[k]) for k in list(rows)[1:]],
-                                      names=list(rows))
+        if s < e:
+            yield int(part[order[s]]), order[s:e]
+
+
+def _share(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges a hash lies in."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(ranges: int, h: np.ndarray, tail: np.ndarray | None, doc: np.ndarray, fp: np.ndarray,
+          place: np.ndarray) -> pa.RecordBatch:
+    """Entries as one row per range of hash values; ``tail`` are the further hash bits of windows."""
+    rows = [(part, None, h[at].tobytes(), b"" if tail is None else tail[at].tobytes(), doc[at].tobytes(),
+             fp[at].tobytes(), place[at].astype(np.int32).tobytes()) for part, at in _cut(_share(h, ranges))]
+    return _batch(rows)
+
+
+def _hits(ranges: int, doc: np.ndarray, fp: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Places that were hit, as one row per group of documents."""
+    groups = _share(B.mix(doc.astype(np.uint64)), ranges)
+    return _batch([(group, group, None, None, doc[at].tobytes(), fp[at].tobytes(), place[at].astype(np.int32).tobytes())
+                   for group, at in _cut(groups)])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _settle(h: np.ndarray, tail: np.ndarray | None, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +88,6 @@ def _settle(h: np.ndarray, tail: np.ndarray | None, doc: np.ndarray) -> tuple[np
     return shared, least
 
 
-def _hits(doc: np.ndarray, fp: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``_HITS`` for (document, word place) pairs."""
-    order = np.lexsort((fp, doc))
-    new = (np.diff(doc[order]) != 0) | (np.diff(fp[order]) != 0)
-    cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(order)])) if len(order) else np.zeros(1, int)
-    spans = list(zip(cuts[:-1], cuts[1:]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(doc[order[s]]) for s, _ in spans], pa.int64()),
-         pa.array([int(fp[order[s]]) for s, _ in spans], pa.int64()),
-         B.binary([np.unique(place[order[s:e]]).astype(np.int32).tobytes() for s, e in spans])],
-        names=["doc_", "print_", "hit_places"])
-
-
 class _Collector:
     """Gathers hashed places of a task; settles and packs them whenever ``FLUSH_ENTRIES`` have come together."""
 
@@ -108,22 +108,12 @@ class _Collector:
         # settled here: every document of a shared hash (anchors), or all but the smallest one (windows)
         known = shared & ~least if self.pick_least else shared
         if known.any():
-            hits = _hits(doc[known], fp[known], place[known])
-            yield _both(hits, pa.array(hits.column(0).to_numpy() % self.ranges, pa.int32()))
+            yield _hits(self.ranges, doc[known], fp[known], place[known])
         go = least
         if not self.pick_least:  # one entry of each hash, of whatever document
             go = np.zeros(len(h), bool)
             go[np.unique(h, return_index=True)[1]] = True
-        yield _both(_pack(self.ranges, h[go], None if tail is None else tail[go], doc[go], fp[go], place[go]))
-
-
-def _both(batch: pa.RecordBatch, ranges: pa.Array | None = None) -> pa.RecordBatch:
-    """Pad entries, or hits that are to meet in ``ranges``, to the columns of ``_ALL``."""
-    own = dict(zip(batch.schema.names, batch.columns)) | ({} if ranges is None else {"range_": ranges})
-    types = {"range_": pa.int32(), "doc_": pa.int64(), "print_": pa.int64()}
-    names = [x.split()[0] for x in _ALL.split(", ")]
-    return pa.RecordBatch.from_arrays(
-        [own.get(n) if n in own else pa.nulls(len(batch), types.get(n, pa.binary())) for n in names], names=names)
+        yield _pack(self.ranges, h[go], None if tail is None else tail[go], doc[go], fp[go], place[go])
 
 
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -175,30 +165,43 @@ def _windows(ranges: int):
 
 
 def _places(value) -> np.ndarray:
-    """Word places of a list of packed places."""
-    return np.concatenate([np.frombuffer(x, np.int32) for x in value.as_py() or [b""]]).astype(np.int64)
+    """Packed word places."""
+    return np.frombuffer(value.as_py() or b"", np.int32).astype(np.int64)
+
+
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
 
 
-def _meet(pick_least: bool):
+def _meet(ranges: int, pick_least: bool):
     """Entries of one range of hashes that another document has as well, or has with a smaller id; hits pass through."""
     def run(table: pa.Table) -> pa.Table:
-        def column(name, kind):
-            return np.frombuffer(b"".join(x.as_py() for x in entries.column(name)), kind)
-        is_hit = pc.is_valid(table.column("doc_"))
-        entries = table.filter(pc.invert(is_hit))
-        h, doc, fp, place = (column(n, t) for n, t in (("hashes", np.uint64), ("docs", np.int64), ("prints", np.int64),
-                                                       ("places", np.int32)))
-        shared, least = _settle(h, column("tails", np.uint64) if pick_least else None, doc)
+        is_hit = pc.is_valid(table.column("group_"))
+        entries, names = table.filter(pc.invert(is_hit)), ["group_", "docs", "prints", "places"]
+        h, doc, fp, place = (_column(entries, n, t) for n, t in (("hashes", np.uint64), ("docs", np.int64),
+                                                                 ("prints", np.int64), ("places", np.int32)))
+        shared, least = _settle(h, _column(entries, "tails", np.uint64) if pick_least else None, doc)
         known = shared & ~least if pick_least else shared
-        earlier = table.filter(is_hit).select(["doc_", "print_", "hit_places"])
-        return pa.concat_tables([pa.Table.from_batches([_hits(doc[known], fp[known], place[known])]), earlier])
+        met = _hits(ranges, doc[known], fp[known], place[known])
+        return pa.concat_tables([pa.Table.from_batches([met]).select(names), table.filter(is_hit).select(names)])
     return run
 
 
-def _matched(found: DataFrame, pick_least: bool) -> DataFrame:
+def _gather(table: pa.Table) -> pa.Table:
+    """All hits of a group of documents, one row per document."""
+    doc, fp, place = (_column(table, n, t) for n, t in (("docs", np.int64), ("prints", np.int64), ("places", np.int32)))
+    order = np.lexsort((place, fp, doc))
+    doc, fp, place = doc[order], fp[order], place[order]
+    new = (np.diff(doc) != 0) | (np.diff(fp) != 0)
+    cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(doc)]))
+    return pa.table({"doc_": pa.array(doc[cuts[:-1]]), "print_": pa.array(fp[cuts[:-1]]),
+                     "near": B.binary([np.unique(place[s:e]).tobytes() for s, e in zip(cuts[:-1], cuts[1:])])})
+
+
+def _matched(found: DataFrame, ranges: int, pick_least: bool) -> DataFrame:
     """Per document, the packed places of its hits, settled inside tasks or across them."""
-    return (found.groupBy("range_").applyInArrow(_meet(pick_least), _HITS)
-            .groupBy("doc_", "print_").agg(F.collect_list("hit_places").alias("near")))
+    return (found.groupBy("range_").applyInArrow(_meet(ranges, pick_least), _HITS)
+            .groupBy("group_").applyInArrow(_gather, "doc_ long, print_ long, near binary"))
 
 
 def _ranges(entries: float) -> int:
@@ -256,9 +259,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = keyed.select("doc_", "print_", "text_").filter("doc_ is not null")
     chars = slim.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
     ranges = _ranges(chars / 6 * len(COVER) / PERIOD)
-    anchors = stage(_matched(slim.mapInArrow(_anchors(ranges), _ALL), False))
+    anchors = stage(_matched(slim.mapInArrow(_anchors(ranges), _FOUND), ranges, False))
     near = slim.join(anchors, ["doc_", "print_"])
-    hits = stage(_matched(near.mapInArrow(_windows(_ranges(chars / 6 / 4)), _ALL), True))
+    hits = stage(_matched(near.mapInArrow(_windows(ranges), _FOUND), ranges, True))
     out = docs.schema.fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out]
                        + ["n_words_ long", "n_removed_ long", "kept_text_ string"])
