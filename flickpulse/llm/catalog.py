@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
 from flickpulse.llm.registry import query, table
 
 
@@ -110,3 +110,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.remove_lines(docs).select("doc_id", F.col("n_lines_").alias("n_lines"),
                                                 F.col("n_removed_").alias("n_removed"), F.sha2("kept_text_", 256).alias("kept_sha256"))
+
+
+@query("op9_nearest_neighbours")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
