@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
 from flickpulse.llm.registry import query, table
+from flickpulse.operators.scale import shared_root
 
 
 
@@ -117,3 +120,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+@query("op8_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    g AS (SELECT t, max(page_id) AS holder FROM p WHERE strlen(t) >= 1000 GROUP BY t)
+    SELECT page_id, CAST(strlen(p.t) AS BIGINT) AS payload_bytes, sha1(p.t) AS payload_digest,
+           CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN holder <> page_id THEN holder END AS refers_to
+    FROM p LEFT JOIN g ON g.t = p.t""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    warc.register(spark)
+    path = f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
+    records = warc.deduplicated(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    records.write.format("warc").option("path", path).mode("append").save()
+    return warc.read_pages(spark, path)
