@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
+from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, url_filters, warc
 from flickpulse.llm.registry import query, table
 from flickpulse.operators.scale import shared_root
 
@@ -136,3 +136,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.deduplicated(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     records.write.format("warc").option("path", path).mode("append").save()
     return warc.read_pages(spark, path)
+
+
+@query("op2_url_filters")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; a page's labels are those of the document that the last number of its path names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    named = F.regexp_extract(url_filters.path_of(F.col("url")), r"(\d+)[^0-9]*$", 1).try_cast("long")
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.min("quality") == 0).alias("poor"), (F.max("toxic") == 1).alias("toxic"))
+    labelled = pages.select("url", named.alias("doc_id")).join(bad, "doc_id").select("url", (F.col("poor") | F.col("toxic")).alias("bad"))
+    judged = url_filters.judge(pages, url_filters.mine(labelled))
+    return judged.select("page_id", F.col("host_").alias("host"), F.col("path_").alias("path"), F.col("rule_").alias("rule"),
+                         F.col("verdict_").alias("verdict"), F.col("mined_rule_").alias("mined_rule"))
