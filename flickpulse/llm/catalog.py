@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, url_filters, warc
+from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, url_filters, warc
 from flickpulse.llm.registry import query, table
 from flickpulse.operators.scale import shared_root
 
@@ -148,3 +148,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge(pages, url_filters.mine(labelled))
     return judged.select("page_id", F.col("host_").alias("host"), F.col("path_").alias("path"), F.col("rule_").alias("rule"),
                          F.col("verdict_").alias("verdict"), F.col("mined_rule_").alias("mined_rule"))
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    coded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = sentencepiece_codec.decode(coded, model)
+    return back.select("doc_id", F.size("ids_").cast("long").alias("n_tokens"), F.xxhash64("ids_").alias("ids_hash"),
+                       (F.col("decoded_") == F.coalesce("text", F.lit(""))).alias("round_trip"))
