@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
+from flickpulse.llm.frames import extended, without
 from flickpulse.llm.quality_rules import in_one_task, training_rows
 
 SAMPLE = 1500
@@ -164,7 +165,7 @@ def classify(docs: DataFrame, model: Params, text_col: str = "text") -> DataFram
 
     Defined cases: null text counts as empty; an empty text has one chunk without bytes and gets the network's score of
     that; repeated rows score alike; ids are not read, so null ids are no case of their own. Further columns are kept,
-    whatever their names, but for ``score`` and ``text_``. An empty table gives an empty result; without any labelled row
+    but replaced where they are named ``score`` or ``text_``. An empty table gives an empty result; without any labelled row
     every score is 1 (nearly).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,5 +175,5 @@ def classify(docs: DataFrame, model: Params, text_col: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in own] + [pa.array(np.concatenate(got or [np.zeros(0)]))],
                                              names=[batch.schema.names[i] for i in own] + ["score"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["score double"])
-    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    docs = without(docs, "score text_")
+    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, extended(docs, "score double"))

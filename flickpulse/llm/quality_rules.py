@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
+from flickpulse.llm.frames import extended, without
 
 SAMPLE = 2000
 THRESHOLD = 0.3
@@ -204,8 +205,8 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
     ``keep_`` is false if the base rules fail (fewer than 20 words, or over 30 % of the words in repeated windows), else
     whether the calibrated score reaches ``THRESHOLD``. Defined cases: null text counts as empty and fails; a row with null
-    id is judged like any other, and repeated rows alike; further columns are kept, whatever their names, but for the
-    names of the results and ``text_``. An empty table gives an empty result; without any labelled row every score is 1.
+    id is judged like any other, and repeated rows alike; further columns are kept, but replaced where they have the name
+    of a result or ``text_``. An empty table gives an empty result; without any labelled row every score is 1.
     """
     weights, offset = model
 
@@ -225,6 +226,6 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 + [pa.array(failed), pa.array(score), pa.array(~failed & (score >= THRESHOLD))],
                 names=[batch.schema.names[i] for i in own] + COUNTS + ["base_failed", "score", "keep_"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{c} long" for c in COUNTS]
-                       + ["base_failed boolean", "score double", "keep_ boolean"])
+    docs = without(docs, " ".join(COUNTS) + " base_failed score keep_ text_")
+    schema = extended(docs, ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, keep_ boolean")
     return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
+from flickpulse.llm.frames import extended, without
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -234,8 +235,8 @@ class Decoder:
 def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``ids_`` (array of int).
 
-    Defined cases: null and empty texts have no ids; ids are not read from other columns, so null ids, repeated rows and
-    clashing names (but ``ids_`` and ``text_``) are no cases of their own. An empty table gives an empty result.
+    Defined cases: null and empty texts have no ids; no other column is read, so null ids and repeated rows are no cases
+    of their own; columns named ``ids_`` or ``text_`` are replaced. An empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -251,8 +252,8 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
                     [part.column(i) for i in own] + [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))],
                     names=[batch.schema.names[i] for i in own] + ["ids_"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["ids_ array<int>"])
-    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    docs = without(docs, "ids_ text_")
+    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, extended(docs, "ids_ array<int>"))
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids_") -> DataFrame:
@@ -266,5 +267,5 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids_") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoder.decode(flat, at), pa.string())],
                                              names=[*batch.schema.names, "decoded_"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["decoded_ string"])
-    return rows.mapInArrow(run, schema)
+    rows = without(rows, "decoded_")
+    return rows.mapInArrow(run, extended(rows, "decoded_ string"))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
+from flickpulse.llm.frames import extended, own, without
 from flickpulse.operators.scale import stage
 
 WINDOW = 13
@@ -251,9 +252,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id, judged on the input;
     the other words are joined by one space. Defined cases: null text counts as empty (0 words, empty kept text). A row
     with null id is left whole and takes nothing from others. Rows that repeat an id take nothing from each other.
-    Further columns are kept, whatever their names; only the three results and ``doc_ print_ text_ near`` are taken. An
+    Further columns are kept, but replaced where they have the name of a result or are named ``doc_ print_ text_ near``. An
     empty table gives an empty result.
     """
+    docs = without(docs, "n_words_ n_removed_ kept_text_ doc_ print_ text_ near")
     keyed = docs.withColumns({"doc_": F.col(id_col).cast("long"), "print_": F.xxhash64(text_col),
                               "text_": F.coalesce(F.col(text_col), F.lit(""))})
     slim = keyed.select("doc_", "print_", "text_").filter("doc_ is not null")
@@ -262,8 +264,6 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = stage(_matched(slim.mapInArrow(_anchors(ranges), _FOUND), ranges, False))
     near = slim.join(anchors, ["doc_", "print_"])
     hits = stage(_matched(near.mapInArrow(_windows(ranges), _FOUND), ranges, True))
-    out = docs.schema.fields
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out]
-                       + ["n_words_ long", "n_removed_ long", "kept_text_ string"])
-    return keyed.join(hits, ["doc_", "print_"], "left").select(*docs.columns, "doc_", "print_", "text_", "near").mapInArrow(
+    schema = extended(docs, "n_words_ long, n_removed_ long, kept_text_ string")
+    return keyed.join(hits, ["doc_", "print_"], "left").select(*own(docs), "doc_", "print_", "text_", "near").mapInArrow(
         _spans, schema)

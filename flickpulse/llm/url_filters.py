@@ -13,6 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flickpulse.llm.frames import own, without
 from flickpulse.operators.scale import stage
 
 SUPPORT, LEAST_URLS, CONFIDENCE = 0.0005, 10, 0.6
@@ -100,14 +101,15 @@ def judge(urls: DataFrame, mined: DataFrame, url_col: str = "url", rules: list[t
 
     A written rule decides where one fits; else a URL that a mined rule matches is blocked, and any other allowed. Defined
     cases: null and strings without ``://`` have empty host and path, no tokens, and are allowed; repeated rows are judged
-    alike; further columns are kept, whatever their names, but for the results and ``url_``. Empty tables give empty
+    alike; further columns are kept, but replaced where they have the name of a result, ``mined_rule`` or ``url_``. Empty tables give empty
     results.
     """
+    urls = without(urls, "host_ path_ rule_ verdict_ mined_rule_ mined_rule url_")
     keyed = urls.withColumn("url_", F.col(url_col))
     found = matches(keyed.select(F.col("url_").alias("url")), mined).withColumnRenamed("url", "url_")
     host, path = host_of(F.col("url_")), path_of(F.col("url_"))
     written = written_rule(host, path, rules)
     return (keyed.join(found.select("url_", "mined_rule"), "url_", "left")
-            .select(*urls.columns, host.alias("host_"), path.alias("path_"), written["rule"].alias("rule_"),
+            .select(*own(urls), host.alias("host_"), path.alias("path_"), written["rule"].alias("rule_"),
                     F.coalesce(written["verdict"], F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict_"),
                     F.col("mined_rule").alias("mined_rule_")))
