@@ -69,7 +69,7 @@ def label_posts(posts: DataFrame, title_weight: bool = True, keep: list[str] | N
     hits = weighted_hits(content, F.col("keyword"), F.col("title") if title_weight else None, F.col("platform"))
     keep = keep or [c for c in posts.columns if c not in ("text", "title")]
     scores = genre_scores(F.col("hits_"), F.col("platform"), F.col("media_type"))
-    return (posts.select(*keep, hits.alias("hits_")).filter(F.size("hits_") > 0)
+    return (posts.select(*keep, hits.alias("hits_"))  # a filter on the hits would make Spark compute them twice
             .select(*keep, F.explode(scores).alias("label_")).select(*keep, "label_.genre", "label_.weight"))
 
 
@@ -148,13 +148,19 @@ def top_movie_genres(labelled: DataFrame, posts: DataFrame, keyword_genre: DataF
 
 
 # ---- aspects -------------------------------------------------------------------------------------------------------
+def untagged(text: str) -> Column:
+    """A text without its hashtags and handles."""
+    return F.regexp_replace(F.col(text), r"[#@][\p{L}\p{N}_]+", " ")
+
+
 def aspect_terms(posts: DataFrame, nouns: list[str] | None = None, min_len: int = 3, max_len: int = 100,
                  stop_words: list[str] = ()) -> DataFrame:
     """(author, aspect) -> mean post score; each post gives its score to each distinct term once.
 
-    Terms are whole tokens of the length rule, outside the stop list and, if given, inside the noun list.
+    Terms are whole tokens of the length rule, outside the stop list and, if given, inside the noun list. Hashtags and
+    handles are no terms.
     """
-    tokens = F.array_distinct(F.split(F.lower("text"), WORD_BREAK))
+    tokens = F.array_distinct(F.split(F.lower(untagged("text")), WORD_BREAK))
     if nouns:
         tokens = F.array_intersect(tokens, _literal_array(nouns))
     terms = F.filter(tokens, lambda w: F.length(w).between(min_len, max_len))
@@ -183,9 +189,10 @@ def sentence_polarity(df: DataFrame, keep: list[str], lexicon: dict[str, int] |
 
 def aspect_sentence_sentiment(posts: DataFrame, keep: list[str], nouns: list[str] | None = None,
                               lexicon: dict[str, int] | None = None) -> DataFrame:
-    """(post, aspect) -> mean over its sentences of 0/25/50/75/100, from the sentence the aspect stands in."""
+    """(post, aspect) -> mean over its sentences of 0/25/50/75/100, from the sentence the aspect stands in. Hashtags and
+    handles are no aspects, but count for the sentence's polarity."""
     nouns, lexicon = nouns or vocab.ASPECT_NOUNS, lexicon or vocab.POLARITY
-    found = word_hits(F.col("sentence"), nouns)
+    found = word_hits(untagged("sentence"), nouns)
     rows = (sentences(posts, keep).filter(F.size(found) > 0)
             .select(*keep, (25.0 * (C.clamp(_polarity(F.col("sentence"), lexicon), -2, 2) + 2)).alias("score"),
                     F.explode(found).alias("aspect")))
@@ -238,6 +245,3 @@ def conflict_balance(docs: DataFrame, key: str = "doc_id", band=(0.25, 0.35)) ->
     pct = scale.with_percentile(raw, "raw", "pct", scale.lower_percentile())
     return pct.withColumn("conflict_balance_score", F.lit(band[0]) + F.col("pct") * (band[1] - band[0]))
 
-
-def genre_reach_rows(labelled: DataFrame) -> DataFrame:
-    return labelled.select("genre", "platform", E.reach().alias("reach"))

@@ -221,13 +221,12 @@ def budget_effective(deduped: DataFrame, haircut: float = 0.775) -> DataFrame:
 
 
 def trailer_curve(days: Column) -> Column:
-    return (F.when(days < 14, -1.0).when(days < 30, C.interpolate(days, [(14, -1.0), (30, 1.0)])).when(days <= 45, 1.0)
-            .when(days <= 90, C.interpolate(days, [(45, 1.0), (90, 0.0)])).when(days > 90, -0.4))
+    within = days <= vocab.TRAILER_KNOTS[-1][0]
+    return F.when(within, C.interpolate(days, vocab.TRAILER_KNOTS)).when(~within, vocab.TRAILER_BEYOND)
 
 
 def song_curve(days: Column) -> Column:
-    return (F.when(days < 21, -0.5).when(days < 42, C.interpolate(days, [(21, -0.5), (42, 1.0)])).when(days <= 56, 1.0)
-            .when(days > 56, C.interpolate(days, [(56, 1.0), (120, -0.2)])))
+    return C.interpolate(days, vocab.SONG_KNOTS)
 
 
 def timing_scores(deduped: DataFrame) -> DataFrame:
@@ -315,7 +314,7 @@ def macro_fill(cleaned: DataFrame, macro: DataFrame, iso3: dict[str, str] | None
 
 def news_event_flags(cleaned: DataFrame, articles: DataFrame, window_days: int = 45,
                      phrases: dict[str, list[str]] | None = None) -> DataFrame:
-    """(title, event class) pairs with an article in the window that holds the title and any phrase of the class.
+    """Per title and event class, 1 if an article in the window holds the title and any phrase of the class, else 0.
 
     Titles and articles meet on (rarest token of the title, date bucket); only then is the whole text searched for the
     whole title. A title can only occur where its rarest token occurs, so nothing is lost.
@@ -342,7 +341,9 @@ def news_event_flags(cleaned: DataFrame, articles: DataFrame, window_days: int =
     hit = (pairs.join(a.select("doc_id", "pub_date", "words", "classes"), "doc_id")
            .filter(F.abs(F.datediff("pub_date", "release_day")) <= window_days)
            .filter(F.contains(joined("words"), joined("title_words"))))
-    return hit.select("title_id", F.explode("classes").alias("event_class")).distinct().withColumn("flag", F.lit(1))
+    found = hit.select("title_id", F.explode("classes").alias("event_class")).distinct().withColumn("flag", F.lit(1))
+    every = cleaned.select("title_id", F.explode(F.array(*[F.lit(name) for name in phrases])).alias("event_class"))
+    return every.join(found, ["title_id", "event_class"], "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
 
 
 # ---- banded factors ------------------------------------------------------------------------------------------------

@@ -177,7 +177,8 @@ TERMS = rf"""
     terms AS (SELECT author, aspect, avg(sentiment_score) AS score, count(*) AS n FROM (
                 SELECT DISTINCT post_id, author, sentiment_score, w AS aspect FROM (
                   SELECT post_id, author, sentiment_score,
-                         unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS w FROM posts) q
+                         unnest(regexp_split_to_array(lower(regexp_replace(text, '[#@][\p{{L}}\p{{N}}_]+', ' ', 'g')),
+                                                      '[^\p{{L}}\p{{N}}_]+')) AS w FROM posts) q
                 WHERE w IN ({LIST})) r GROUP BY 1, 2)"""
 
 
@@ -206,13 +207,15 @@ def sentence_sql(source: str, key: str) -> str:
 
 
 @query("sentence_polarity", sentence_sql("synopses", "doc_id") + """
-    SELECT doc_id, sentence_no, polarity FROM pol WHERE polarity <> 0""")
+    SELECT doc_id, sentence_no, polarity FROM pol""")
 def sentence_polarity(t):
-    return X.sentence_polarity(t.synopses, ["doc_id"]).filter("polarity <> 0").select("doc_id", "sentence_no", "polarity")
+    return X.sentence_polarity(t.synopses, ["doc_id"]).select("doc_id", "sentence_no", "polarity")
 
 
-ASPECT = sentence_sql("posts", "post_id") + f""",
-    asp AS (SELECT post_id, w AS aspect, avg(25.0*(polarity+2)) AS score FROM stok JOIN pol USING (post_id, sentence_no)
+ASPECT = sentence_sql("posts", "post_id") + rf""",
+    atok AS (SELECT post_id, sentence_no,
+                    unnest(regexp_split_to_array(regexp_replace(s, '[#@][\p{{L}}\p{{N}}_]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_]+')) AS w FROM sent),
+    asp AS (SELECT post_id, w AS aspect, avg(25.0*(polarity+2)) AS score FROM atok JOIN pol USING (post_id, sentence_no)
             WHERE w IN ({_N}) GROUP BY 1, 2),
     ag AS (SELECT keyword, platform, aspect, sum(score) AS sentiment_sum, count(*) AS mention_count,
                   count(DISTINCT author) AS distinct_authors FROM asp JOIN posts_lean USING (post_id) GROUP BY 1, 2, 3)"""

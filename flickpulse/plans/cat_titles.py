@@ -294,9 +294,11 @@ def macro_fill_join(t):
           FROM articles),
     ac AS (SELECT DISTINCT doc_id, pub_date, nt, cls FROM w JOIN ph ON contains(lt, p)),
     tt AS (SELECT title_id, release_day, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(movie_name),
-                  '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS nm FROM cl WHERE release_day IS NOT NULL)
-    SELECT DISTINCT title_id, cls AS event_class, 1 AS flag FROM tt JOIN ac
-    ON pub_date BETWEEN release_day - 45 AND release_day + 45 AND contains(nt, nm)""")
+                  '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS nm FROM cl WHERE release_day IS NOT NULL),
+    hit AS (SELECT DISTINCT title_id, cls FROM tt JOIN ac
+            ON pub_date BETWEEN release_day - 45 AND release_day + 45 AND contains(nt, nm))
+    SELECT title_id, c.cls AS event_class, (hit.cls IS NOT NULL)::int AS flag
+    FROM cl CROSS JOIN (SELECT DISTINCT cls FROM ph) c LEFT JOIN hit USING (title_id, cls)""")
 def news_event_flag(t):
     return T.news_event_flags(cleaned(t), t.articles)
 
