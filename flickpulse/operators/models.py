@@ -98,7 +98,7 @@ def oof_predict(frame: DataFrame, features: list[str], name: str = "ridge", fold
 
 
 def compare_models(frame: DataFrame, features: list[str], names=("ridge", "forest", "gbt"), folds: int = 5,
-                   keep: int = 2) -> DataFrame:
+                   keep: int = 3) -> DataFrame:
     """Candidates by median error, and a linear stack of the best ``keep`` fitted on their out-of-fold predictions."""
     preds = {n: scale.stage(oof_predict(frame, features, n, folds).select("title_id", "revenue", LABEL, "prediction"))
              for n in names}
@@ -130,14 +130,30 @@ def market_comparison(frame: DataFrame, features: list[str], folds: int = 5) ->
 
 
 # ---- disclosure ----------------------------------------------------------------------------------------------------
+def disclosure_frame(titles: DataFrame) -> DataFrame:
+    """Every deduplicated title with what is known before its release, and whether its financials were disclosed.
+
+    Budget and revenue make the label and ratings come after release, so neither is a feature.
+    """
+    d = scale.stage(T.dedupe(T.clean(titles).filter(F.col("release_year").isNotNull())))
+    stem = C.franchise_stem("movie_name")
+    stems = d.groupBy(stem.alias("stem")).agg((F.count(F.lit(1)) >= 2).cast("double").alias("franchise_flag"))
+    prior = T.director_prior_releases(d).select("title_id", F.log1p(F.col("director_prior_releases").cast("double")).alias("ln_director_prior"))
+    return (d.withColumn("stem", stem).join(stems, "stem").join(prior, "title_id", "left")
+            .select("title_id", "primary_genre", "language", "country", "franchise_flag",
+                    (F.col("release_year") - 1990).cast("double").alias("age"),
+                    F.coalesce("ln_director_prior", F.lit(0.0)).alias("ln_director_prior"),
+                    (F.col("has_financials") & (F.col("revenue") >= 10_000)).cast("int").alias("disclosed")))
+
+
 def disclosure_model(frame: DataFrame, folds: int = 5, buckets: int = 20):
     """P(financials disclosed) for the full corpus, out of fold; AUC picks logistic regression or boosted trees."""
     f = frame
-    cats = {"primary_genre": "genre_bucket", "language": "language_bucket", "directors": "director_bucket"}
+    cats = {"primary_genre": "genre_bucket", "language": "language_bucket", "country": "country_bucket"}
     for c, out in cats.items():
         f = T.top_k_bucket(f, c, buckets, out)
     f = scale.stage(f.withColumn("label", F.col("disclosed").cast("double")).withColumn("fold", fold_of("title_id", folds)))
-    numbers = ["ln_budget", "runtime_mins", "imdb_rating", "ln_views", "age", "home"]
+    numbers = ["age", "franchise_flag", "ln_director_prior"]
     encode = [StringIndexer(inputCols=list(cats.values()), outputCols=[c + "_i" for c in cats.values()], handleInvalid="keep"),
               OneHotEncoder(inputCols=[c + "_i" for c in cats.values()], outputCols=[c + "_v" for c in cats.values()]),
               VectorAssembler(inputCols=numbers + [c + "_v" for c in cats.values()], outputCol="features")]
@@ -230,21 +246,30 @@ def bootstrap_coefficients(frame: DataFrame, features: list[str], replicates: in
     return q.withColumn("multiplier", C.clamp("p50", 0.3, 1.6))
 
 
-def confidence_band(frame: DataFrame, disclosure: DataFrame, features: list[str], replicates: int = 8) -> DataFrame:
-    """Half the p90-p10 spread of resampled models, widened for titles unlikely to be disclosed."""
-    weight = lambda i: F.floor(-F.log(1 - F.pmod(F.xxhash64("title_id", F.lit(i)), F.lit(1_000_003)) / 1_000_003.0) + 0.5)
-    base = frame.select("title_id", LABEL, *features)
+def poisson_weight(key: str, replicate: int) -> Column:
+    """A Poisson(1) number from the row's key: the inverse of the distribution at a hashed uniform number."""
+    u = F.pmod(F.xxhash64(key, F.lit(replicate)), F.lit(1 << 52)) / float(1 << 52)
+    return sum((u >= float(step)).cast("double") for step in POISSON_STEPS)
+
+
+def confidence_band(frame: DataFrame, disclosure: DataFrame, features: list[str], replicates: int = 30, name: str = "gbt",
+                    folds: int = 5) -> DataFrame:
+    """The out-of-fold prediction with half the p90-p10 spread of resampled models, widened for titles unlikely to be
+    disclosed; an unknown probability takes the median."""
+    base = scale.stage(frame.select("title_id", LABEL, *features))
+    centre = oof_predict(base, features, name, folds).select("title_id", "prediction")
     out = base
     for i in range(replicates):
-        f = base.withColumn("w", weight(i).cast("double")).filter("w > 0")
-        model = pipeline(features, regressor("ridge"), "w").fit(f)
+        f = base.withColumn("w", poisson_weight("title_id", i)).filter("w > 0")
+        model = pipeline(features, regressor(name), "w").fit(f)
         out = model.transform(out).withColumnRenamed("prediction", f"p{i}").drop("raw_features", "features")
     spread = F.array_sort(F.array(*[F.col(f"p{i}") for i in range(replicates)]))
     at = lambda q: F.element_at(spread, int(round(q * (replicates - 1))) + 1)
-    mean = sum((F.col(f"p{i}") for i in range(replicates)), F.lit(0.0)) / replicates
-    j = out.select("title_id", mean.alias("prediction"), ((at(0.9) - at(0.1)) / 2).alias("half")).join(
-        disclosure.select("title_id", "p_disclosed"), "title_id", "left")
-    wide = F.col("half") * (1.6 - 0.9 * F.coalesce("p_disclosed", F.lit(0.5)))
+    known = disclosure.select("title_id", "p_disclosed")
+    middle = scale.stage(scale.exact_quantiles(known, "p_disclosed", {"m": 0.5})).scalar()
+    j = (out.select("title_id", ((at(0.9) - at(0.1)) / 2).alias("half")).join(centre, "title_id").join(known, "title_id", "left")
+         .withColumn("p", F.coalesce("p_disclosed", middle, F.lit(0.5))))
+    wide = F.col("half") * (1.6 - 0.9 * F.col("p"))
     return j.select("title_id", "prediction", "half", (F.col("prediction") - wide).alias("low"),
                     (F.col("prediction") + wide).alias("high"))
 
@@ -318,10 +343,10 @@ def preferences(posts: DataFrame, link: DataFrame):
     from flickpulse.operators import graph as G
     pairs = (G.resolve_authors(posts.filter(F.trim("keyword") != ""), link)
              .groupBy("global_user_id", F.lower("keyword").alias("keyword")).agg(F.count(F.lit(1)).alias("n")))
-    index = StringIndexer(inputCols=["global_user_id", "keyword"], outputCols=["user_ix", "item_ix"],
-                          stringOrderType="alphabetAsc").fit(pairs)
-    return scale.stage(index.transform(pairs).select("global_user_id", "keyword", "n", F.col("user_ix").cast("int"),
-                                                     F.col("item_ix").cast("int")))
+    for column, ix in (("global_user_id", "user_ix"), ("keyword", "item_ix")):
+        ids = scale.value_ranks(pairs.select(column).distinct(), column).select(column, F.col("n_before").cast("int").alias(ix))
+        pairs = pairs.join(ids, column)
+    return scale.stage(pairs.select("global_user_id", "keyword", "n", "user_ix", "item_ix"))
 
 
 def factorize(prefs: DataFrame, rank: int = 10, seed: int = 42):

@@ -65,47 +65,50 @@ def _level(line: dict[str, Column]) -> Column:
     return line["m1"] * F.col("span") + line["a1"] * F.col("mass")
 
 
-def _root_in_row(line: dict[str, Column], low: Column, high: Column) -> Column:
-    """Zero of the slope by 60 halvings over the key's own array of excitations."""
-    def halve(s, _):
-        mid = (s["low"] + s["high"]) / 2
-        slope = F.aggregate("excites", F.lit(0.0), lambda acc, a: acc + _pull(line, mid, a)) - _level(line)
-        return F.when(slope > 0, F.struct(mid.alias("low"), s["high"].alias("high"))).otherwise(
-            F.struct(s["low"].alias("low"), mid.alias("high")))
-
-    start = F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve)["low"]
-
-
 def _root_by_passes(rows: DataFrame, state: DataFrame, keys: list[str], line: dict[str, Column], low: Column,
-                    high: Column, name: str, grid: int = 64, passes: int = 9) -> DataFrame:
-    """The same zero for keys too long for an array: each pass sums the slope at ``grid`` points over all rows.
+                    high: Column, name: str, together: int = 8, most: int = 64) -> DataFrame:
+    """Zero of the falling slope in [low, high], or the end it lies beyond: Newton's steps kept inside a bracket.
 
-    Only the sums are shuffled, and every pass narrows the bracket ``grid`` times; each pass is checkpointed.
+    Each pass sums the slope and its derivative at every key's point over all its rows, so only sums are shuffled.
+    ``together`` passes make one job; jobs follow until every key has settled (a bracket halves at least, so ``most``
+    passes always do).
     """
-    s = scale.stage(state.withColumn("low", low.cast("double")).withColumn("high", high.cast("double")))
-    carried = [c for c in s.columns]
-    point = lambda i: F.col("low") + (F.col("high") - F.col("low")) * F.lit(i / grid)
-    for _ in range(passes):
-        terms = [F.sum(_pull(line, point(i), F.col("excite"))).alias(f"g{i}") for i in range(1, grid)]
-        sums = rows.join(s, keys).groupBy(*keys).agg(*terms)
-        above = sum(((F.col(f"g{i}") - _level(line)) > 0).cast("int") for i in range(1, grid))
-        step = (F.col("high") - F.col("low")) / grid
-        s = scale.stage(s.join(sums, keys).withColumn("above", above).withColumn("step", step)
-                        .withColumn("low", F.col("low") + F.col("step") * F.col("above"))
-                        .withColumn("high", F.col("low") + F.col("step")).select(*carried))
-    return s.withColumn(name, F.col("low")).drop("low", "high")
-
-
-def hawkes_fit(posts: DataFrame, keys: list[str], kernel: Kernel, bounded_mu: bool = True,
-               array_limit: int = 20_000) -> DataFrame:
+    excites = rows.select(*keys, "excite")
+    s = state.withColumn("low", low.cast("double")).withColumn("high", high.cast("double"))
+    carried = [c for c in s.columns if c not in keys]
+    a, point = F.col("excite"), F.col("x")
+    derivative = -F.pow(_pull(line, point, a), 2)
+    ends = (excites.join(s, keys).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in carried],
+        F.sum(_pull(line, F.col("low"), a)).alias("at_low"), F.sum(_pull(line, F.col("high"), a)).alias("at_high")))
+    s = ends.select(*keys, *carried, ((F.col("at_low") <= _level(line)) | (F.col("at_high") >= _level(line))).alias("settled"),
+                    F.when(F.col("at_low") <= _level(line), F.col("low")).when(F.col("at_high") >= _level(line), F.col("high"))
+                    .otherwise((F.col("low") + F.col("high")) / 2).alias("x"))
+    for done in range(1, most + 1):
+        sums = excites.join(s, keys).groupBy(*keys).agg(
+            *[F.max(c).alias(c) for c in [*carried, "settled", "x"]], F.sum(_pull(line, point, a)).alias("f"), F.sum(derivative).alias("d"))
+        slope = F.col("f") - _level(line)
+        s = (sums.withColumn("slope", slope).withColumn("low", F.when(F.col("slope") > 0, point).otherwise(F.col("low")))
+             .withColumn("high", F.when(F.col("slope") > 0, F.col("high")).otherwise(point))
+             .withColumn("newton", point - F.col("slope") / F.col("d")))
+        inside = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
+        moved = F.when(inside, F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2)
+        still = F.abs(moved - point) <= 1e-10 * F.abs(point) + 1e-12
+        s = s.select(*keys, *carried, (F.col("settled") | still).alias("settled"), F.when(F.col("settled"), point).otherwise(moved).alias("x"))
+        if done % together == 0:
+            s = scale.stage(s)
+            if s.filter("not settled").isEmpty():
+                break
+    return s.withColumn(name, point).drop(*{"low", "high", "settled", "x"} - {name})
+
+
+def hawkes_fit(posts: DataFrame, keys: list[str], kernel: Kernel, bounded_mu: bool = True) -> DataFrame:
     """Maximum-likelihood background rate ``mu`` and excitation ``alpha`` of every key at once, decay fixed.
 
     With the decay fixed the likelihood is concave. At its maximum mu*span + alpha*mass equals the number of posts, so
     a search on alpha alone is enough: mu = (n - alpha*mass) / span. If that leaves the allowed box
     (0 <= alpha < beta, 1e-9 <= mu <= 10n/max(span, 1)), the maximum lies on the face that was crossed, and is again a
-    search in one variable. Keys with up to ``array_limit`` posts are solved inside their row; longer ones by passes of
-    grouped sums over all their rows.
+    search in one variable. All keys are solved alike, by passes of grouped sums over all rows.
     """
     rows = scale.stage(excitation(posts.select(*keys, "us", "post_id"), keys, kernel).select(
         *keys, "us", "post_id", "excite"))
@@ -116,41 +119,27 @@ def hawkes_fit(posts: DataFrame, keys: list[str], kernel: Kernel, bounded_mu: bo
     cap = kernel.beta - 1e-9
     mu_top = (10.0 * F.col("n") / F.greatest("span", F.lit(1.0))) if bounded_mu else F.lit(float("inf"))
     fit = stats.filter((F.col("n") >= 2) & (F.col("span") > 1e-9))
-    longest = fit.agg(F.max("n").alias("n")).first()["n"] or 0
 
     profile = {"m0": F.col("n") / F.col("span"), "m1": -F.col("mass") / F.col("span"), "a0": F.lit(0.0),
                "a1": F.lit(1.0)}
-    at_cap = {"m0": F.lit(0.0), "m1": F.lit(1.0), "a0": F.lit(cap), "a1": F.lit(0.0)}
-    at_top = {"m0": mu_top, "m1": F.lit(0.0), "a0": F.lit(0.0), "a1": F.lit(1.0)}
     top = F.least(F.lit(cap), (F.col("n") - 1e-9 * F.col("span")) / F.col("mass"))
+    x = _root_by_passes(rows, fit, keys, profile, F.lit(0.0), top, "x")
     mu_of = F.greatest((F.col("n") - F.col("x") * F.col("mass")) / F.col("span"), F.lit(1e-9))
-    capped = (F.col("x") >= F.lit(cap * (1 - 1e-12)))
-    over = mu_of > mu_top
-    mu_high = F.when(mu_top < float("inf"), mu_top).otherwise(F.col("n") / F.col("span"))
-
-    short = fit.filter(F.col("n") <= array_limit) if longest > array_limit else fit
-    in_rows = rows.join(short.select(*keys), keys, "left_semi") if longest > array_limit else rows
-    arrays = in_rows.groupBy(*keys).agg(F.collect_list("excite").alias("excites"))
-    solved = (arrays.join(short, keys).withColumn("x", _root_in_row(profile, F.lit(0.0), top))
-              .withColumn("mu", F.when(capped, _root_in_row(at_cap, F.lit(1e-9), mu_high))
-                          .when(over, mu_top).otherwise(mu_of))
-              .withColumn("alpha", F.when(capped, F.lit(cap))
-                          .when(over, _root_in_row(at_top, F.lit(0.0), F.lit(cap))).otherwise(F.col("x")))
-              .select(*keys, "n", "span", "mu", "alpha"))
-    if longest > array_limit:
-        big = fit.filter(F.col("n") > array_limit)
-        big_rows = scale.stage(rows.join(big.select(*keys), keys, "left_semi"))
-        x = scale.stage(_root_by_passes(big_rows, big, keys, profile, F.lit(0.0), top, "x"))
-        parts = [x.filter(~capped & ~over).withColumn("mu", mu_of).withColumn("alpha", F.col("x"))]
-        on_cap, on_top = x.filter(capped), x.filter(~capped & over)
-        if not on_cap.isEmpty():
-            parts.append(_root_by_passes(big_rows, on_cap, keys, at_cap, F.lit(1e-9), mu_high, "mu")
-                         .withColumn("alpha", F.lit(cap)))
-        if not on_top.isEmpty():
-            parts.append(_root_by_passes(big_rows, on_top, keys, at_top, F.lit(0.0), F.lit(cap), "alpha")
-                         .withColumn("mu", mu_top))
-        for part in parts:
-            solved = solved.unionByName(part.select(*keys, "n", "span", "mu", "alpha"))
+    x = x.withColumn("mu_x", mu_of).withColumn("mu_top", mu_top)
+    x = scale.stage(x.withColumn("face", F.when(F.col("x") >= F.lit(cap * (1 - 1e-12)), "cap")
+                                 .when(F.col("mu_x") > F.col("mu_top"), "top").otherwise("none")))
+    solved = x.filter("face = 'none'").select(*keys, "n", "span", F.col("mu_x").alias("mu"), F.col("x").alias("alpha"))
+    edge = x.filter("face <> 'none'")
+    if not edge.isEmpty():
+        # on the cap of alpha the search is for mu, on the top of mu for alpha
+        on_cap = F.col("face") == "cap"
+        face = {"m0": F.when(on_cap, 0.0).otherwise(F.col("mu_top")), "m1": F.when(on_cap, 1.0).otherwise(0.0),
+                "a0": F.when(on_cap, F.lit(cap)).otherwise(0.0), "a1": F.when(on_cap, 0.0).otherwise(1.0)}
+        mu_high = F.when(F.col("mu_top") < float("inf"), F.col("mu_top")).otherwise(F.col("n") / F.col("span"))
+        found = _root_by_passes(rows, edge, keys, face, F.when(on_cap, 1e-9).otherwise(0.0),
+                                F.when(on_cap, mu_high).otherwise(F.lit(cap)), "y")
+        solved = solved.unionByName(found.select(*keys, "n", "span", F.when(on_cap, F.col("y")).otherwise(F.col("mu_top")).alias("mu"),
+                                                 F.when(on_cap, F.lit(cap)).otherwise(F.col("y")).alias("alpha")))
     # too few posts or no spread: alpha is not identifiable
     flat = stats.filter(~((F.col("n") >= 2) & (F.col("span") > 1e-9))).select(
         *keys, "n", "span", F.when(F.col("n") >= 2, F.col("n") / F.greatest("span", F.lit(1.0))).otherwise(0.0)

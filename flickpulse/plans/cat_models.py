@@ -25,6 +25,10 @@ def disclosed(t):
     return scale.stage(M.model_frame(t.titles).filter("disclosed = 1"))
 
 
+def disclosure(t):
+    return M.disclosure_model(M.disclosure_frame(t.titles))
+
+
 GUESS = """
     g AS (SELECT revenue, ln(revenue) AS y, ln(budget) - 0.3 AS p FROM titles WHERE budget > 0 AND revenue > 0),
     e AS (SELECT *, abs(exp(p) - revenue)/revenue AS err FROM g)"""
@@ -57,17 +61,17 @@ def oof_predict(t):
 
 @query("compare_models")
 def compare_models(t):
-    return M.compare_models(disclosed(t), M.FEATURES, folds=3)
+    return M.compare_models(disclosed(t), M.FEATURES)
 
 
 @query("market_comparison")
 def market_comparison(t):
-    return M.market_comparison(disclosed(t), M.FEATURES, folds=3)
+    return M.market_comparison(disclosed(t), M.FEATURES)
 
 
 @query("disclosure_model")
 def disclosure_model(t):
-    return M.disclosure_model(frame(t), folds=3)
+    return disclosure(t)
 
 
 @query("ipw_weights", """
@@ -81,8 +85,7 @@ def ipw_weights(t):
 
 @query("compare_weighting")
 def compare_weighting(t):
-    scored = t.titles.select("title_id", F.when(F.col("imdb_rating") > 0, F.col("imdb_rating") / 10).alias("p_disclosed"))
-    return M.compare_weighting(disclosed(t), M.ipw_weights(scored), M.FEATURES, folds=3)
+    return M.compare_weighting(disclosed(t), M.ipw_weights(disclosure(t)), M.FEATURES)
 
 
 @query("bootstrap_coefficients")
@@ -92,8 +95,7 @@ def bootstrap_coefficients(t):
 
 @query("confidence_band")
 def confidence_band(t):
-    p = t.titles.select("title_id", (F.col("imdb_rating") / 10).alias("p_disclosed"))
-    return M.confidence_band(disclosed(t), p, M.FEATURES)
+    return M.confidence_band(disclosed(t), disclosure(t), M.FEATURES)
 
 
 @query("partial_dependence")
@@ -141,7 +143,7 @@ def tribes(t):
 
 @query("tribe_summary")
 def tribe_summary(t):
-    return M.tribe_summary(M.tribes(persona(t), X.aspect_terms(t.posts, NOUNS)).select("author", "tribe", "moi", "alpha"))
+    return M.tribe_summary(M.tribes(persona(t), X.aspect_terms(t.posts, NOUNS)))
 
 
 @query("persona_profiles")

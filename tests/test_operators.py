@@ -177,17 +177,14 @@ def test_bursts_and_regions_brute_force(spark):
     assert regions == want_regions and want_regions
 
 
-def test_hawkes_edges_and_long_path(spark):
+def test_hawkes_edges(spark):
     rows, p = random_posts(spark)
     extra = posts(spark, [dict(post_id=900, author="single"), dict(post_id=901, author="same"), dict(post_id=902, author="same")])
     p = p.unionByName(extra)
     short = {r.author: r for r in TL.hawkes_fit(p, ["author"], TL.PER_MINUTE).collect()}
-    long = {r.author: r for r in TL.hawkes_fit(p.repartition(9), ["author"], TL.PER_MINUTE, array_limit=10).collect()}
-    assert short.keys() == long.keys()
     assert (short["single"].mu, short["single"].alpha) == (0.0, 0.0) and short["same"].alpha == 0.0
     for a, s in short.items():
         assert 0 <= s.alpha < 0.1
-        assert long[a].alpha == pytest.approx(s.alpha, abs=1e-9) and long[a].mu == pytest.approx(s.mu, abs=1e-9)
     # no better point on a grid around the fit of the busiest author
     xs = [r.excite for r in TL.excitation(p, ["author"], TL.PER_MINUTE).filter("author = 'hot'").collect()]
     s = short["hot"]
