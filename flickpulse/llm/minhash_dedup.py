@@ -9,15 +9,19 @@ and a group is a connected component of links.
 2. Members of a band bucket are candidates. Their signatures are compared 32 values at a time; after each batch a pair is
    dropped if the posterior probability (uniform prior) that its similarity reaches 0.8 is below ``MISS``. What survives is
    verified exactly on the full sets.
-3. No bucket is expanded into pairs. Each member is first compared with its bucket's leader only; members that this joins
-   need no further comparison. Rounds with other leaders follow in buckets that still hold several components, and only
-   what is left then is compared across components, so that no link between different texts is lost.
+3. No bucket is expanded into pairs. Each member is first compared with its bucket's leader only, and members that this
+   joins need no further comparison. For buckets that still hold several components, the shingles that other open
+   documents have as well are counted by ``BLOCKS`` ranges of their hash. The sum of the smaller counts bounds what two sets
+   can have in common: members that can reach 0.8 with nothing in their bucket leave it, the rest meets leaders with few
+   shingles of their own, and only pairs that the bound leaves are then compared across components. No link between
+   different texts is lost, and members of a bucket's largest component are never paired with each other.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ SHINGLE = 4
 PERCENT = 80
 VALUES, BANDS, BATCH = 128, 32, 32
 MISS = 1e-7
-STAR_ROUNDS = 3
+CENTRAL_ROUNDS = 1
+BLOCKS = 64
 
 _rng = np.random.default_rng(4)
 _TIMES = (_rng.integers(0, 1 << 32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -57,12 +62,12 @@ def shingle_sets(block: B.Block, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """``doc_, n_shingles, set_a, set_b, bands, values``; an empty set has no bands."""
     for batch in batches:
         ids = batch.column("doc_")
         for block in B.blocks(batch.column("text_")):
-            sets = shingle_sets(block)
+            sets = shingle_sets(block, width)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             starts = np.cumsum(sizes[full]) - sizes[full]
@@ -120,11 +125,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(equal[alive])], names=["a", "b", "equal"])
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exact(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     """Pairs with texts ``u`` and ``v`` whose full sets reach the similarity."""
     for batch in batches:
-        first = [s for block in B.blocks(batch.column("u")) for s in shingle_sets(block)]
-        second = [s for block in B.blocks(batch.column("v")) for s in shingle_sets(block)]
+        first = [s for block in B.blocks(batch.column("u")) for s in shingle_sets(block, width)]
+        second = [s for block in B.blocks(batch.column("v")) for s in shingle_sets(block, width)]
         keep = []
         for i, (s, t) in enumerate(zip(first, second)):
             both = len(np.intersect1d(s, t, assume_unique=True))
@@ -137,8 +142,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Verifier:
     """Compares candidate pairs (a, b): signatures first, then full sets."""
 
-    def __init__(self, texts: DataFrame, sketches: DataFrame):
-        self.texts, self.sketches = texts, sketches
+    def __init__(self, texts: DataFrame, sketches: DataFrame, width: int):
+        self.texts, self.sketches, self.width = texts, sketches, width
 
     def _with(self, pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
         return (pairs.join(of.select(F.col("doc_").alias("a"), F.col(value).alias("u")), "a")
@@ -150,25 +155,64 @@ class _Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
-        return self._with(pairs, self.texts, "text_").mapInArrow(_exact, "a long, b long")
+        exact = partial(_exact, width=self.width)  # of the pairs alone: this object stays on the driver
+        return self._with(pairs, self.texts, "text_").mapInArrow(lambda batches: exact(batches), "a long, b long")
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    """Sets whose sizes alone rule out the similarity are never compared."""
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+def _can_reach(n_x: Column, n_y: Column, at_most: Column) -> Column:
+    """Whether sets of these sizes, with ``at_most`` common members, can have the similarity."""
+    common = F.least(n_x, n_y, at_most)
+    return 100 * common >= PERCENT * (n_x + n_y - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``doc_, s, counts``: the shingles of every text, and how many lie in each of ``BLOCKS`` ranges."""
+    for batch in batches:
+        for block in B.blocks(batch.column("text_")):
+            sets = shingle_sets(block, width)
+            cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            flat = np.concatenate(sets)
+            key = np.repeat(np.arange(len(sets)), np.diff(cuts)) * BLOCKS + (flat >> np.uint64(40)).astype(np.int64) % BLOCKS
+            counts = np.bincount(key, minlength=len(sets) * BLOCKS).astype(np.int32)
+            each = np.arange(0, len(counts) + 1, BLOCKS, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_")[block.rows.start:block.rows.stop],
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(each), pa.array(counts))], names=["doc_", "s", "counts"])
+
+
+def _shared_counts(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``doc_, shared, counts``: how many of its shingles another of ``members`` has, in all and by range."""
+    sets = stage(texts.join(members.select("doc_").distinct(), "doc_", "left_semi").mapInArrow(
+        lambda batches: _shingles(batches, width), "doc_ long, s array<long>, counts array<int>"))
+    once = (sets.select("doc_", F.explode("s").alias("s")).groupBy("s")
+            .agg(F.min("doc_").alias("doc_"), F.max("doc_").alias("last")).filter("doc_ = last"))
+    block = F.pmod(F.shiftrightunsigned("s", 40), F.lit(BLOCKS))
+    own = once.groupBy("doc_").agg(F.array(*[F.count_if(block == i).cast("int") for i in range(BLOCKS)]).alias("own"))
+    left = F.zip_with("counts", F.coalesce("own", F.array_repeat(F.lit(0), BLOCKS)), lambda c, o: c - o)
+    # rows that repeat an id are one document: the larger counts keep the bound safe
+    counts = sets.select("doc_", "counts").join(own, "doc_", "left").groupBy("doc_").agg(
+        F.max(F.struct(F.aggregate(left, F.lit(0), lambda x, y: x + y).cast("long").alias("shared"), left.alias("counts"))).alias("m"),
+        F.count(F.lit(1)).alias("rows"))
+    return counts.select("doc_", "m.shared", "m.counts", "rows")
+
+
+def _common(x: str, y: str) -> Column:
+    """At most so many shingles are common to two sets with these counts."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b).cast("long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``; ``component_id`` is the smallest id of its group.
 
     Defined cases: null and empty texts and texts without words have no shingles and are linked with nothing; a text of
-    fewer than four words has its whole word sequence as its only shingle. Rows that repeat an id are one document: links
+    fewer than ``shingle`` words has its whole word sequence as its only shingle. Rows that repeat an id are one document: links
     of any of their texts count for it. A row with null id is linked with nothing, its component is null and it is kept.
     Other columns are not read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
     sketches = stage(texts.mapInArrow(
-        _sketches, "doc_ long, n_shingles long, set_a long, set_b long, bands array<long>, values binary"))
+        lambda batches: _sketches(batches, shingle), "doc_ long, n_shingles long, set_a long, set_b long, bands array<long>, values binary"))
     sets = ["n_shingles", "set_a", "set_b"]
     usable = sketches.filter("doc_ is not null and n_shingles > 0")
     classes = usable.groupBy(*sets).agg(F.min("doc_").alias("first_doc"))
@@ -178,41 +222,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = heads.select("doc_", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("doc_").alias("lo"), F.max("doc_").alias("hi")).filter("lo <> hi")
     banded = stage(banded.join(shared.select("band"), "band").distinct())
-    check = _Verifier(texts, heads)
-
-    found, compared = copies.limit(0), None
-    members = banded.withColumn("comp", F.col("doc_"))
-    for round_ in range(STAR_ROUNDS):
-        order = F.xxhash64("doc_", F.lit(round_))
-        leader = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc_", "n_shingles", "comp")).alias("l"))
+    check = _Verifier(texts, heads, shingle)
+
+    found, decided = copies.limit(0), copies.limit(0)
+    members = banded.withColumns({"comp": F.col("doc_"), "shared": F.col("n_shingles"), "counts": F.lit(None).cast("array<int>")})
+    for round_ in range(1 + CENTRAL_ROUNDS):
+        own = F.floor((F.col("n_shingles") - F.col("shared")) * 20 / F.col("n_shingles"))
+        order = F.struct(own, F.xxhash64("doc_", F.lit(round_)))
+        leader = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc_", "n_shingles", "comp", "counts")).alias("l"))
         star = (members.join(leader, "band").filter(F.col("comp") != F.col("l.comp"))
-                .filter(_sizes_fit(F.col("n_shingles"), F.col("l.n_shingles")))
+                .filter(_can_reach(F.col("n_shingles"), F.col("l.n_shingles"),
+                                   F.coalesce(_common("counts", "l.counts"), F.col("n_shingles"))))
                 .select(F.greatest("doc_", "l.doc_").alias("a"), F.least("doc_", "l.doc_").alias("b"),
-                        F.col("doc_").alias("member")).distinct())
-        if compared is not None:
-            star = star.join(compared, ["a", "b"], "left_anti")
-        roles = stage(star)
-        likely = check.likely(roles.select("a", "b").distinct())
-        tested = roles.select("a", "b").distinct()
-        compared = tested if compared is None else compared.unionByName(tested)
-        likely = stage(likely)
-        # the likeliest leader of every member first; a second one only where that did not join the two
-        best = (roles.join(likely, ["a", "b"]).groupBy("member")
-                .agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("p"))
-                .select("p.a", "p.b").distinct())
+                        F.col("doc_").alias("member")).distinct().join(decided, ["a", "b"], "left_anti"))
+        star = stage(star)
+        pairs = star.select("a", "b").distinct()
+        likely = stage(check.likely(pairs))
+        # each member's likeliest leader only; what that leaves apart is compared in a later round
+        best = stage(star.join(likely, ["a", "b"]).groupBy("member")
+                     .agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("p"))
+                     .select("p.a", "p.b").distinct())
         found = stage(found.unionByName(check.links(best)))
-        comps = stage(components(found, "a", "b"))
-        rest = _across(likely.select("a", "b"), comps)
-        found = stage(found.unionByName(check.links(rest)))
-        comps = stage(components(found, "a", "b"))
-        members = stage(_open(banded, comps))
+        decided = stage(decided.unionByName(pairs.join(likely, ["a", "b"], "left_anti")).unionByName(best))
+        placed = _placed(banded, components(found, "a", "b"))
+        if round_ == 0:
+            members = stage(_several(placed))
+            counts = stage(_shared_counts(texts, members, shingle))
+            placed = members  # what is in one component stays so
+        members = stage(_several(_alive(placed, counts)))
         if members.isEmpty():
             break
-    x, y = (members.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_", "n_shingles", "comp")]) for s in "xy")
-    cross = (x.join(y, "band").filter("doc__x > doc__y and comp_x <> comp_y")
-             .filter(_sizes_fit(F.col("n_shingles_x"), F.col("n_shingles_y")))
-             .select(F.col("doc__x").alias("a"), F.col("doc__y").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"))
-    last = check.links(check.likely(cross).select("a", "b"))
+    last = check.links(check.likely(_across(members).join(decided, ["a", "b"], "left_anti")).select("a", "b"))
     groups = components(copies.unionByName(found).unionByName(last), "a", "b")
     out = sketches.select("doc_", "n_shingles").join(groups.withColumnRenamed("node", "doc_"), "doc_", "left")
     component = F.coalesce("component", "doc_")
@@ -220,16 +260,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_") == component, F.lit(True)).alias("kept"))
 
 
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    of = comps.select(F.col("node"), "component")
-    return (pairs.join(of.toDF("a", "comp_a"), "a", "left").join(of.toDF("b", "comp_b"), "b", "left")
-            .filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"))
+def _placed(banded: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with their components."""
+    return (banded.join(comps.toDF("doc_", "c"), "doc_", "left")
+            .select("band", "doc_", "n_shingles", F.coalesce("c", "doc_").alias("comp")))
 
 
-def _open(banded: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with their components, of the buckets that hold several components."""
-    placed = (banded.join(comps.toDF("doc_", "c"), "doc_", "left")
-              .select("band", "doc_", "n_shingles", F.coalesce("c", "doc_").alias("comp")))
+def _several(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
     several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     return placed.join(several.select("band"), "band")
+
+
+def _alive(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Members that may reach the similarity with some member of their bucket, by sizes and shared shingles."""
+    least = placed.groupBy("band").agg(F.min("n_shingles").alias("least_n"))
+    return (placed.select("band", "doc_", "n_shingles", "comp").join(counts, "doc_").join(least, "band")
+            .withColumn("shared", F.when(F.col("rows") > 1, F.col("n_shingles")).otherwise(F.col("shared")))
+            .withColumn("counts", F.when(F.col("rows") == 1, F.col("counts")))
+            .filter(_can_reach(F.col("n_shingles"), F.greatest("least_n", "shared"), F.col("shared"))).drop("least_n", "rows"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs across the components of a bucket that the counts leave possible. One side is outside the bucket's largest
+    component, so that component's members are not paired among themselves."""
+    largest = (members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+               .agg(F.max_by("comp", F.struct("n", "comp")).alias("largest")))
+    of = members.join(largest, "band")
+    x, y = (of.select("band", "largest", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_", "n_shingles", "counts", "comp")]) for s in "xy")
+    fits = _can_reach(F.col("n_shingles_x"), F.col("n_shingles_y"), F.coalesce(_common("counts_x", "counts_y"), F.col("n_shingles_x")))
+    return (x.filter("comp_x <> largest").drop("largest").join(y, "band")
+            .filter("comp_x <> comp_y and (comp_y = largest or doc__x > doc__y)").filter(fits)
+            .select(F.greatest("doc__x", "doc__y").alias("a"), F.least("doc__x", "doc__y").alias("b")).distinct())
