@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
-from flickpulse.llm.frames import extended, without
+from flickpulse.llm.frames import extended, map_batches, without
 from flickpulse.llm.quality_rules import in_one_task, training_rows
 
 SAMPLE = 1500
@@ -176,4 +176,4 @@ def classify(docs: DataFrame, model: Params, text_col: str = "text") -> DataFram
                                              names=[batch.schema.names[i] for i in own] + ["score"])
 
     docs = without(docs, "score text_")
-    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, extended(docs, "score double"))
+    return map_batches(docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))), run, extended(docs, "score double"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
-from flickpulse.llm.frames import extended, without
+from flickpulse.llm.frames import extended, map_batches, without
 
 SAMPLE = 2000
 THRESHOLD = 0.3
@@ -228,4 +228,4 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
 
     docs = without(docs, " ".join(COUNTS) + " base_failed score keep_ text_")
     schema = extended(docs, ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, keep_ boolean")
-    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
+    return map_batches(docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))), run, schema)

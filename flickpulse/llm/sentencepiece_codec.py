@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
-from flickpulse.llm.frames import extended, without
+from flickpulse.llm.frames import extended, map_batches, without
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
                     names=[batch.schema.names[i] for i in own] + ["ids_"])
 
     docs = without(docs, "ids_ text_")
-    return docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, extended(docs, "ids_ array<int>"))
+    return map_batches(docs.withColumn("text_", F.coalesce(F.col(text_col), F.lit(""))), run, extended(docs, "ids_ array<int>"))
 
 
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids_") -> DataFrame:
@@ -268,4 +268,4 @@ def decode(rows: DataFrame, model: bytes, ids_col: str = "ids_") -> DataFrame:
                                              names=[*batch.schema.names, "decoded_"])
 
     rows = without(rows, "decoded_")
-    return rows.mapInArrow(run, extended(rows, "decoded_ string"))
+    return map_batches(rows, run, extended(rows, "decoded_ string"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
-from flickpulse.llm.frames import extended, own, without
+from flickpulse.llm.frames import extended, map_batches, own, without
 from flickpulse.operators.scale import stage
 
 WINDOW = 13
@@ -265,5 +265,5 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = slim.join(anchors, ["doc_", "print_"])
     hits = stage(_matched(near.mapInArrow(_windows(ranges), _FOUND), ranges, True))
     schema = extended(docs, "n_words_ long, n_removed_ long, kept_text_ string")
-    return keyed.join(hits, ["doc_", "print_"], "left").select(*own(docs), "doc_", "print_", "text_", "near").mapInArrow(
-        _spans, schema)
+    marked = keyed.join(hits, ["doc_", "print_"], "left").select(*own(docs), "doc_", "print_", "text_", "near")
+    return map_batches(marked, _spans, schema)
