@@ -93,7 +93,8 @@ def _backward(p: Params, x, flag, size, doc, n, y, weight) -> tuple[float, Param
     prob = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     error = ((prob - y) * weight / n).astype(np.float32)
     g = {"out": best.T @ error, "offset": error.sum(keepdims=True)}
-    down = (error[:, None] * p["out"])[doc] * (pooled == best[doc])
+    holds = (pooled == best[doc]).astype(np.float32)  # chunks that share a largest value share its gradient
+    down = (error[:, None] * p["out"])[doc] * holds / np.add.reduceat(holds, starts)[doc]
     gz = np.broadcast_to((down[:, FILTERS:] / spots[:, None])[:, None], z.shape).copy()
     top = z.argmax(1)
     gz[np.arange(len(z))[:, None], top, np.arange(FILTERS)] += down[:, :FILTERS]
