@@ -19,43 +19,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flickpulse.operators.scale import stage
+from flickpulse.llm.frames import own, without
+from flickpulse.operators.scale import stage, value_ranks
 
 FUZZY_WORDS = 8
-_SPACE = " \t\x0b\f\r"
 _AT = ["doc_", "print_", "line_no"]
 
 
-def _words(line: Column) -> Column:
-    low = F.btrim(F.lower(line), F.lit(_SPACE))
-    return F.when(low == "", F.array().cast("array<string>")).otherwise(F.split(low, r"[\x20\x09-\x0D]+"))
+def _spaced(line: Column) -> Column:
+    """The lower-cased words of a line with one space between them."""
+    low = F.lower(line)
+    uneven = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        uneven = uneven | F.contains(low, F.lit(c))
+    return F.btrim(F.when(uneven, F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
 
 
-def _halves(words: Column, n: Column) -> list[Column]:
+def _halves(s: Column, n: Column) -> list[Column]:
     """Hashes of the first and second half, as the longer (or equally long) and as the shorter line of a pair."""
     out = []
     for more in (0, 1):
         longer = n + more
         first = F.floor(longer / 2).cast("int")
-        out += [F.xxhash64(F.lit("first"), longer, F.slice(words, F.lit(1), first)),
-                F.xxhash64(F.lit("second"), longer, F.slice(words, n - (longer - first) + 1, longer - first))]
+        out += [F.xxhash64(F.lit("first"), longer, F.call_function("substring_index", s, F.lit(" "), first)),
+                F.xxhash64(F.lit("second"), longer, F.call_function("substring_index", s, F.lit(" "), first - longer))]
     return [F.when(n >= FUZZY_WORDS, c) for c in out]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line of every document with the hashes it is compared by; lines without words have none."""
     split = docs.select("doc_", "print_", F.posexplode(F.split("text_", "\n")).alias("line_no", "line"))
-    worded = split.select(*_AT, _words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
-    return worded.select(*_AT, "n", F.when(F.col("n") > 0, F.xxhash64("w")).alias("h1"),
-                         F.when(F.col("n") > 0, F.xxhash64(F.lit(7), "w")).alias("h2"),
-                         *[c.alias(f"half{i}") for i, c in enumerate(_halves(F.col("w"), F.col("n")))])
+    worded = split.select(*_AT, _spaced(F.col("line")).alias("s")).withColumn(
+        "n", F.when(F.col("s") == "", 0).otherwise(F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1))
+    return worded.select(*_AT, "n", F.when(F.col("n") > 0, F.xxhash64("s")).alias("h1"),
+                         F.when(F.col("n") > 0, F.xxhash64(F.lit(7), "s")).alias("h2"),
+                         *[c.alias(f"half{i}") for i, c in enumerate(_halves(F.col("s"), F.col("n")))])
 
 
-def _partnered(distinct: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another distinct line."""
-    halves = distinct.filter(F.col("n") >= FUZZY_WORDS).select(
+def _partnered(lines: DataFrame) -> DataFrame:
+    """``h1, h2`` of lines that share a half with another distinct line."""
+    halves = lines.filter(F.col("n") >= FUZZY_WORDS).select(
         "h1", "h2", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi")
     return halves.join(shared.select("half"), "half").select("h1", "h2").distinct()
 
 
@@ -65,23 +70,25 @@ def _with_words(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                          F.col("at.line_no").alias("line_no"))
     texts = docs.join(at.select("doc_", "print_").distinct(), ["doc_", "print_"], "left_semi").dropDuplicates(["doc_", "print_"])
     lines = texts.select("doc_", "print_", F.posexplode(F.split("text_", "\n")).alias("line_no", "line"))
-    return lines.join(at, _AT).select("h1", "h2", "n", "at", _words(F.col("line")).alias("w"))
+    return lines.join(at, _AT).select("h1", "h2", "n", "at", F.split(_spaced(F.col("line")), " ").alias("w"))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """``at, n, i, v1, v2, whole1, whole2``: hashes of every line without its i-th word, and of the whole line."""
-    words = lines.select("h1", "h2", "n", "at", F.posexplode("w").alias("i", "word"))
+    """``id, n, i, v1, v2``: hashes of every line without its i-th word; rows of the first word also have the hashes of
+    the whole line, ``whole1, whole2``."""
+    words = lines.select("id", "n", F.posexplode("w").alias("i", "word"))
     for s in (1, 2):  # two independent 64-bit hashes; a word after the deleted one moves one place down
         words = words.withColumns({f"f{s}": F.xxhash64(F.lit(s), "word", "i"), f"g{s}": F.xxhash64(F.lit(s), "word", F.col("i") - 1)})
-    line = W.partitionBy("h1", "h2")
+    line = W.partitionBy("id")
     before = line.orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     through = line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     keys = []
     for s in (1, 2):
         left = F.coalesce(F.bit_xor(f"f{s}").over(before), F.lit(0).cast("long"))
         right = F.bit_xor(f"g{s}").over(line).bitwiseXOR(F.bit_xor(f"g{s}").over(through))
-        keys += [left.bitwiseXOR(right).alias(f"v{s}"), F.bit_xor(f"f{s}").over(line).alias(f"whole{s}")]
-    return words.select("h1", "h2", "at", "n", "i", *keys)
+        whole = F.when(F.col("i") == 0, F.bit_xor(f"f{s}").over(line))
+        keys += [left.bitwiseXOR(right).alias(f"v{s}"), whole.alias(f"whole{s}")]
+    return words.select("id", "n", "i", *keys)
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -96,25 +103,25 @@ def _one_edit(a: Column, b: Column) -> Column:
                                                                .otherwise(False))
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """``h1, h2`` of distinct lines that have an earlier line one word edit away."""
-    lines = stage(_with_words(docs, distinct.join(_partnered(distinct), ["h1", "h2"], "left_semi")))
-    variants = stage(_variants(lines))
-    whole = variants.filter("i = 0").select("h1", "h2", "at", "n", "whole1", "whole2")
-    earliest = F.min(F.struct("at", "h1", "h2"))
+    chosen = stage(distinct.join(_partnered(lines), ["h1", "h2"], "left_semi"))
+    worded = stage(_with_words(docs, chosen))
+    # numbers in the order of the places stand for the lines from here on
+    order = value_ranks(worded, "at").select("at", F.col("n_before").alias("id"))
+    worded = stage(worded.join(order, "at").select("id", "h1", "h2", "n", "w"))
+    variants = stage(_variants(worded))
     by_place = ["v1", "v2", "n", "i"]
-    exchanged = (variants.join(variants.groupBy(*by_place).agg(earliest.alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1"),
-                               by_place).filter("p.at < at").select("h1", "h2", "p"))
-    as_whole = whole.select(F.struct("at", "h1", "h2").alias("p"), (F.col("n") + 1).alias("n"),
-                            F.col("whole1").alias("v1"), F.col("whole2").alias("v2"))
-    shorter_first = variants.join(as_whole, ["v1", "v2", "n"]).filter("p.at < at").select("h1", "h2", "p")
-    longer = (variants.groupBy("v1", "v2", "n").agg(earliest.alias("p"))
-              .select("p", (F.col("n") - 1).alias("n"), F.col("v1").alias("whole1"), F.col("v2").alias("whole2")))
-    longer_first = whole.join(longer, ["whole1", "whole2", "n"]).filter("p.at < at").select("h1", "h2", "p")
-    pairs = (exchanged.unionByName(shorter_first).unionByName(longer_first)
-             .select("h1", "h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct())
-    own, other = lines.select("h1", "h2", F.col("w").alias("a")), lines.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("w").alias("b"))
-    return (pairs.join(own, ["h1", "h2"]).join(other, ["p1", "p2"]).filter(_one_edit(F.col("a"), F.col("b")))
+    several = variants.groupBy(*by_place).agg(F.min("id").alias("p"), F.max("id").alias("last")).filter("p < last")
+    exchanged = variants.select("id", *by_place).join(several, by_place).filter("p < id").select("id", "p")
+    whole = variants.filter("i = 0").select(F.col("id").alias("shorter"), (F.col("n") + 1).alias("n"),
+                                            F.col("whole1").alias("v1"), F.col("whole2").alias("v2"))
+    one_more = stage(variants.select("id", "v1", "v2", "n").join(whole, ["v1", "v2", "n"]).select("id", "shorter"))
+    pairs = (exchanged.unionByName(one_more.filter("shorter < id").select("id", F.col("shorter").alias("p")))
+             .unionByName(one_more.filter("id < shorter").groupBy(F.col("shorter").alias("id2")).agg(F.min("id").alias("p"))
+                          .select(F.col("id2").alias("id"), "p")).distinct())
+    own_words, other = worded.select("id", "h1", "h2", F.col("w").alias("a")), worded.select(F.col("id").alias("p"), F.col("w").alias("b"))
+    return (pairs.join(own_words, "id").join(other, "p").filter(_one_edit(F.col("a"), F.col("b")))
             .select("h1", "h2").distinct())
 
 
@@ -124,22 +131,24 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Lines are split at line feeds. Defined cases: lines without words are never removed; null text gives null
     ``kept_text_`` and no lines; a row with null id is left whole and takes nothing from others; rows that repeat an id and
     a text share their decisions, and rows that repeat only the id come in the order of their texts' hashes. Further
-    columns are kept, whatever their names, but for the results and ``doc_ print_ text_ gone_``. An empty table gives an
-    empty result.
+    columns are kept, but replaced where they have the name of a result or of ``doc_ print_ text_ gone_``. An empty
+    table gives an empty result.
     """
+    docs = without(docs, "n_lines_ n_removed_ kept_text_ doc_ print_ text_ gone_")
     keyed = docs.withColumns({"doc_": F.col(id_col).cast("long"), "print_": F.xxhash64(text_col), "text_": F.col(text_col)})
     slim = keyed.select("doc_", "print_", "text_").filter("doc_ is not null and text_ is not null")
     lines = stage(_lines(slim))
     distinct = stage(lines.filter("h1 is not null").groupBy("h1", "h2").agg(
-        F.min(F.struct(*_AT)).alias("at"), F.first("n").alias("n"), *[F.first(f"half{i}").alias(f"half{i}") for i in range(4)]))
-    near = _near(slim, distinct).withColumn("near", F.lit(True))
+        F.min(F.struct(*_AT)).alias("at"), F.first("n").alias("n")))
+    near = _near(slim, lines, distinct).withColumn("near", F.lit(True))
     judged = distinct.select("h1", "h2", "at").join(near, ["h1", "h2"], "left")
     gone = F.coalesce((F.struct(*_AT) != F.col("at")) | F.col("near"), F.struct(*_AT) != F.col("at"), F.lit(False))
-    marks = (lines.select(*_AT, "h1", "h2").distinct().join(judged, ["h1", "h2"], "left").select(*_AT, gone.alias("gone"))
-             .groupBy("doc_", "print_").agg(F.sort_array(F.collect_list(F.struct("line_no", "gone"))).alias("gone_")))
-    mask = F.transform("gone_", lambda x: x["gone"])
-    kept = F.filter(F.split("text_", "\n"), lambda line, i: ~F.coalesce(F.get("mask_", i), F.lit(False)))
-    return (keyed.join(marks, ["doc_", "print_"], "left").withColumn("mask_", mask)
-            .select(*docs.columns, F.when(F.col("text_").isNull(), 0).otherwise(F.size(F.split("text_", "\n"))).cast("long").alias("n_lines_"),
-                    F.coalesce(F.size(F.filter("mask_", lambda m: m)), F.lit(0)).cast("long").alias("n_removed_"),
-                    F.when(F.col("mask_").isNull(), F.col("text_")).otherwise(F.array_join(kept, "\n")).alias("kept_text_")))
+    marks = stage(lines.select(*_AT, "h1", "h2").join(judged, ["h1", "h2"], "left").select(*_AT, gone.alias("gone"))
+                  .groupBy("doc_", "print_").agg(F.sort_array(F.collect_set(F.struct("line_no", "gone"))).alias("marks"))
+                  .select("doc_", "print_", F.transform("marks", lambda x: x["gone"]).alias("gone_")))
+    removed = F.coalesce(F.size(F.filter("gone_", lambda g: g)), F.lit(0))
+    kept = F.filter(F.split("text_", "\n"), lambda line, i: ~F.get("gone_", i))
+    return (keyed.join(marks, ["doc_", "print_"], "left")
+            .select(*own(docs), F.coalesce(F.size("gone_"), F.when(F.col("text_").isNull(), 0).otherwise(F.size(F.split("text_", "\n"))))
+                    .cast("long").alias("n_lines_"), removed.cast("long").alias("n_removed_"),
+                    F.when(removed > 0, F.array_join(kept, "\n")).otherwise(F.col("text_")).alias("kept_text_")))
