@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flickpulse.functions import columns as C
 from flickpulse.functions import vocab
 from flickpulse.operators import graph as G
 from flickpulse.operators import reach as R
@@ -514,5 +513,3 @@ def graph_filter(t):
     return among.groupBy("relation").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("weight"),
                                          F.countDistinct("from_id").alias("n_from"))
 
-
-assert C
