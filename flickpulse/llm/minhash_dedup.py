@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flickpulse.llm import batches as B
-from flickpulse.llm.components import components
+from flickpulse.llm.components import components, labels
 from flickpulse.operators.scale import stage
 
 SHINGLE = 4
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .select("p.a", "p.b").distinct())
         found = stage(found.unionByName(check.links(best)))
         decided = stage(decided.unionByName(pairs.join(likely, ["a", "b"], "left_anti")).unionByName(best))
-        placed = _placed(banded, components(found, "a", "b"))
+        placed = _placed(banded, labels(found, "a", "b"))
         if round_ == 0:
             members = stage(_several(placed))
             counts = stage(_shared_counts(texts, members, shingle))
