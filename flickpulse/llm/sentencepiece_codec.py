@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from flickpulse.llm.frames import extended, map_batches, without
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-SEGMENTS_KEPT = 300_000
+SEGMENTS_KEPT, DECODED_ROWS = 200_000, 128
 
 
 @dataclass
@@ -232,6 +233,12 @@ class Decoder:
         return [t[1:] if self.prefix and t.startswith(" ") else t for t in out]
 
 
+@lru_cache(maxsize=2)
+def _made(kind: type, model: bytes):
+    """One encoder or decoder per Python worker, used by its tasks one after another."""
+    return kind(read_model(model))
+
+
 def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``ids_`` (array of int).
 
@@ -242,7 +249,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        encoder = Encoder(read_model(model))
+        encoder = _made(Encoder, model)
         for batch in batches:
             own = [i for i, n in enumerate(batch.schema.names) if n != "text_"]
             for block in B.blocks(batch.column("text_")):
@@ -259,13 +266,16 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids_") -> DataFrame:
     """All rows and columns of ``rows`` with ``decoded_``; null or empty ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(read_model(model))
+        decoder = _made(Decoder, model)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            at = np.concatenate(([0], np.cumsum(np.array([len(x) if x.is_valid else 0 for x in ids], np.int64))))
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoder.decode(flat, at), pa.string())],
-                                             names=[*batch.schema.names, "decoded_"])
+            for start in range(0, len(batch), DECODED_ROWS):  # a few rows at a time: their bytes are indexed one by one
+                part = ids.slice(start, DECODED_ROWS)
+                sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts = decoder.decode(part.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))))
+                piece = batch.slice(start, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())],
+                                                 names=[*batch.schema.names, "decoded_"])
 
     rows = without(rows, "decoded_")
     return map_batches(rows, run, extended(rows, "decoded_ string"))
