@@ -7,9 +7,11 @@ equal *anchors*: windows of 7 words that start, at the same shift, at a cover pl
 (3 of 7 places) are hashed and shuffled first; only windows around an anchor that a second document has are then
 compared in full, by 128-bit hashes.
 
-Hot passages. A hash that several documents of one task share is settled inside that task and passed on once, so what
-meets for one hash is bounded by the number of tasks, not of documents. Hashes travel packed, by ranges of their value;
-the number of ranges follows the counted words, so a range has about ``RANGE_ENTRIES`` entries at any size.
+Hot passages. An anchor hash that several documents of one task share is settled inside that task and passed on with two of
+them (two, as a row of another task may repeat the id of one). A hash that one document holds alone is passed on with all
+its places, since each of them is marked if another task has the hash. So what meets for one hash is bounded by the number
+of tasks times the places in the rows of one id, not by the number of documents. Hashes travel packed, by ranges of their
+value; the number of ranges follows the counted words, so a range has about ``RANGE_ENTRIES`` entries at any size.
 """
 
 from __future__ import annotations
@@ -111,9 +113,10 @@ class _Collector:
         if known.any():
             yield _hits(self.ranges, doc[known], fp[known], place[known])
         go = least
-        if not self.pick_least:  # one entry of each hash, of whatever document
-            go = np.zeros(len(h), bool)
-            go[np.unique(h, return_index=True)[1]] = True
+        if not self.pick_least:  # all places of a lone document, as none is marked yet; else two documents stand for the hash
+            go = ~shared
+            for side in (np.flatnonzero(shared & least), np.flatnonzero(shared & ~least)):
+                go[side[np.unique(h[side], return_index=True)[1]]] = True
         yield _pack(self.ranges, h[go], None if tail is None else tail[go], doc[go], fp[go], place[go])
 
 

@@ -156,6 +156,47 @@ def test_substring_cases(docs):
     assert substring_dedup.remove_repeated(docs.limit(0)).count() == 0
 
 
+def without_repeats(rows):
+    """Kept text of every row of (id, text), by all windows of 13 words."""
+    least = {}
+    for i, t in rows:
+        for j in range(len(words(t)) - 12):
+            k = tuple(words(t)[j:j + 13])
+            least[k] = min(i, least.get(k, i))
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = {j + d for j in range(len(w) - 12) if least[tuple(w[j:j + 13])] < i for d in range(13)}
+        out.append((i, t, " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_substring_repeats_inside_a_document(spark, parts):
+    """Passages that a document holds several times go everywhere, however rows fall into tasks."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    passages = [fresh(n) for n in (13, 14, 19, 30, 41)]
+    rows = []
+    for i in range(30):
+        p, q = (passages[j] for j in rng.choice(len(passages), 2, replace=False))
+        rows.append((i, " ".join((fresh(i % 9), p, fresh(5), p, q, fresh(i % 4 + 1), p, fresh(3)))))
+    rows += [(30 + i, "so " * (40 + i) + fresh(3)) for i in range(3)]
+    rows += [(40, fresh(4) + " " + passages[3]), (40, passages[3] + " " + fresh(2) + " " + passages[3])]  # an id twice
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n long")
+    got = substring_dedup.remove_repeated(df.repartitionByRange(parts, "n")).collect()
+    assert sorted((r.doc_id, r.text, r.kept_text_) for r in got) == sorted(without_repeats(rows))
+
+
+def test_substring_repeated_id_beside_another_document():
+    """Two documents stand for a hash shared inside a task: a row elsewhere may have the id of one."""
+    kept = substring_dedup._Collector(1, False)
+    one = np.ones(3, np.int64)
+    kept.add(np.array([7, 7, 7], np.uint64), None, np.array([5, 2, 5]), one, np.arange(3))
+    entries = list(kept.flush())[-1]
+    assert set(np.frombuffer(entries.column("docs")[0].as_py(), np.int64)) == {2, 5}
+
+
 def counts_of(text):
     w = words(text)
     wins = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
