@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by inner product: multiprobe hashing with p-stable (Gaussian) projections.
 
-Vectors are scaled by the largest norm and given one more component that makes all norms 1, and queries are scaled to
-norm 1; the nearest by distance then are those of largest inner product. A table hashes a vector to ``PROJECTIONS`` numbers
-floor((a.x + b) / WIDTH). A query visits, in each of ``TABLES`` tables, its own bucket and perturbed ones (a number one
-lower or higher) in the order of estimated success, the sum of squared distances to the crossed borders; ``PROBES`` buckets
-per table. Candidates of all tables are reranked by the exact inner product of the original vectors in double precision.
+Vectors are cut into bands of norms, ``BANDS`` per doubling, scaled by the largest norm of the band and given one more
+component that makes all norms 1, and queries are scaled to norm 1; in each band the nearest by distance then are those
+of largest inner product, and a few long vectors don't push the others together. A table hashes a vector to
+``PROJECTIONS`` numbers floor((a.x + b) / WIDTH). A query visits, in each of ``TABLES`` tables, its own bucket and
+perturbed ones (a number one lower or higher) in the order of estimated success, the sum of squared distances to the
+crossed borders; ``PROBES`` buckets per table and band. Queries that found fewer than ``k`` so go on in that order
+through the buckets that the first table has, any number of borders away, until they have ``k`` or all vectors were
+visited. Candidates of all tables are reranked by the exact inner product of the original vectors in double precision.
 
 Every row is indexed. Buckets are cut into blocks of about ``BLOCK`` vectors by their counted size, so a hot bucket or
 thousands of equal vectors are many small blocks. Queries travel in blocks per bucket too; a block of queries meets each
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from flickpulse.operators.scale import stage
 
 PROJECTIONS, WIDTH, TABLES, PROBES, BLOCK = 4, 2.0, 4, 12, 4096
+BANDS = 2  # per doubling of the norm
+BAND_SALT = 0x2545F4914F6CDD1D
 NEAR_TIE = 1e-9
 
 
@@ -57,6 +62,11 @@ class Hashing:
         with np.errstate(over="ignore"):
             return (numbers.astype(np.int64) * self.salt).sum(-1)
 
+    def onward(self, x: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """(query, bucket): cost of any buckets of the first table, given as their hash values."""
+        at = self.places(x)[0][:, None, :]
+        return (np.maximum(0, np.maximum(buckets - at, at - buckets - 1)) ** 2).sum(-1)
+
     def probes(self, x: np.ndarray, count: int) -> np.ndarray:
         """(table, query, probe): buckets to visit, likeliest first."""
         at = self.places(x)
@@ -77,8 +87,19 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
     return np.stack(frame["v"].to_numpy()).astype(np.float64)
 
 
-def _hashed(hashing: Hashing, largest: float, query_probes: int | None):
-    """``vec_id, v, table, bucket`` rows of vectors, or of queries for every bucket that they visit."""
+def _unit(x: np.ndarray, norm: np.ndarray, largest: np.ndarray) -> np.ndarray:
+    """Vectors scaled by the largest norm of their band, with the component that makes their norm 1."""
+    return np.column_stack((x / largest[:, None], np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))))
+
+
+def _banded(keys: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Buckets of a band, apart from those of other bands."""
+    with np.errstate(over="ignore"):
+        return keys + band.astype(np.int64) * BAND_SALT
+
+
+def _hashed(hashing: Hashing, bands: dict[int, float], query_probes: int | None):
+    """``vec_id, v, table, bucket`` rows of vectors, or of queries for every bucket that they visit in every band."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for s in range(0, len(frame), 1024):
@@ -86,11 +107,12 @@ def _hashed(hashing: Hashing, largest: float, query_probes: int | None):
                 x = _matrix(part)
                 norm = part["norm"].to_numpy()
                 if query_probes is None:
-                    x = x / largest
-                    more = np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))
-                    keys = hashing.key(np.floor(hashing.places(np.column_stack((x, more)))))[..., None]
+                    band = part["band"].to_numpy()
+                    x = _unit(x, norm, np.array([bands[b] for b in band]))
+                    keys = _banded(hashing.key(np.floor(hashing.places(x))), band)[..., None]
                 else:
                     keys = hashing.probes(np.column_stack((x / norm[:, None], np.zeros(len(x)))), query_probes)
+                    keys = np.concatenate([_banded(keys, np.array(b)) for b in bands], -1)
                 tables, n, probes = keys.shape
                 row = np.tile(np.repeat(np.arange(n), probes), tables)
                 yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[row], "v": part["v"].to_numpy()[row],
@@ -98,6 +120,38 @@ def _hashed(hashing: Hashing, largest: float, query_probes: int | None):
     return run
 
 
+def _filled(hashing: Hashing, bands: dict[int, float], rows: DataFrame) -> pd.DataFrame:
+    """``band, numbers, n``: the buckets of the first table and their vectors. All places are of vectors of norm 1, so there
+    are some hundred buckets per band at any number of vectors."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                band = frame["band"].to_numpy()
+                x = _unit(_matrix(frame), frame["norm"].to_numpy(), np.array([bands[b] for b in band]))
+                numbers = np.column_stack((band, np.floor(hashing.places(x)[0]).astype(np.int64)))
+                kinds, n = np.unique(numbers, axis=0, return_counts=True)
+                yield pd.DataFrame({"band": kinds[:, 0], "numbers": list(kinds[:, 1:]), "n": n})
+    found = rows.mapInPandas(run, "band long, numbers array<long>, n long")
+    return found.groupBy("band", "numbers").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _onward(hashing: Hashing, filled: pd.DataFrame, least: int):
+    """``vec_id, v, table, bucket`` rows of queries for the first buckets of each band that hold ``least`` vectors or all."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for s in range(0, len(frame), 64):
+                part = frame.iloc[s:s + 64]
+                x = np.column_stack((_matrix(part) / part["norm"].to_numpy()[:, None], np.zeros(len(part))))
+                for band, of in filled.groupby("band"):
+                    numbers, n = np.stack(of["numbers"].to_numpy()), of["n"].to_numpy()
+                    order = np.argsort(hashing.onward(x, numbers), -1, kind="stable")
+                    row, at = np.nonzero(np.cumsum(n[order], -1) - n[order] < least)
+                    keys = _banded(hashing.key(numbers), np.array(band))[order[row, at]]
+                    yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy()[row], "v": part["v"].to_numpy()[row],
+                                        "table": np.zeros(len(row), np.int32), "bucket": keys})
+    return run
+
+
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
     """``table, bucket, ids, vs``: buckets packed into blocks of about ``block`` vectors."""
     sizes = rows.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
@@ -127,10 +181,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return vectors.sparkSession.createDataFrame([], out)
     hashing = Hashing(shape.dims)
     of_shape = F.size("v") == shape.dims
-    form = "vec_id long, v array<double>, table int, bucket long"
-    index = stage(_blocks(rows.filter(of_shape).mapInPandas(_hashed(hashing, shape.largest, None), form), block))
-    visits = _blocks(asked.filter(of_shape).mapInPandas(_hashed(hashing, shape.largest, probes), form), 256)
-    met = visits.select("table", "bucket", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")).join(index, ["table", "bucket"])
+    form, packed = "vec_id long, v array<double>, table int, bucket long", "query_id long, ids binary, scores binary"
+    rows = rows.filter(of_shape).withColumn("band", F.floor(BANDS * (F.lit(float(np.log2(shape.largest))) - F.log2("norm"))))
+    asked = asked.filter(of_shape)
+    bands = {r.band: r.largest for r in rows.groupBy("band").agg(F.max("norm").alias("largest")).collect()}
+    index = stage(_blocks(rows.mapInPandas(_hashed(hashing, bands, None), form), block))
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -146,11 +201,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             for i, s in zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b).tolist()):
                 best[i] = max(s, best.get(i, -np.inf))
         top = heapq.nsmallest(k, ((-s, i) for i, s in best.items()))
-        return pd.DataFrame({"query_id": [key[0]] * len(top), "rank": range(1, len(top) + 1), "vec_id": [i for _, i in top],
-                             "score": [-s + 0.0 for s, _ in top]})
+        return pd.DataFrame({"query_id": [key[0]], "ids": [np.array([i for _, i in top], np.int64).tobytes()],
+                             "scores": [np.array([-s + 0.0 for s, _ in top]).tobytes()]})
 
-    found = met.mapInPandas(meet, "query_id long, ids binary, scores binary")
-    return found.groupBy("query_id").applyInPandas(merge, out)
+    def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                ids = np.frombuffer(r.ids, np.int64)
+                yield pd.DataFrame({"query_id": np.full(len(ids), r.query_id), "rank": np.arange(1, len(ids) + 1, dtype=np.int32),
+                                    "vec_id": ids, "score": np.frombuffer(r.scores)})
+
+    def compared(visits: DataFrame) -> DataFrame:
+        dealt = _blocks(visits, 256).select("table", "bucket", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs"))
+        return dealt.join(index, ["table", "bucket"]).mapInPandas(meet, packed)
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return stage(found.groupBy("query_id").applyInPandas(merge, packed))
+
+    best = best_of(compared(asked.mapInPandas(_hashed(hashing, bands, probes), form)))
+    few = [r.vec_id for r in rows.select("vec_id").distinct().limit(k + 1).collect()]
+    due = F.lit(k) if len(few) > k else F.lit(len(few)) - F.col("vec_id").isin(few).cast("int")
+    filled, least = None, k + 1
+    while True:  # further buckets for queries that lack neighbours
+        got = best.select(F.col("query_id").alias("vec_id"), (F.octet_length("ids") / 8).alias("got"))
+        short = asked.join(got, "vec_id", "left").filter(F.coalesce("got", F.lit(0)) < due).drop("got")
+        if short.isEmpty():
+            break
+        filled = _filled(hashing, bands, rows) if filled is None else filled
+        best = best_of(best.unionByName(compared(short.mapInPandas(_onward(hashing, filled, least), form))))
+        if least >= filled["n"].sum():
+            break
+        least *= 4
+    return best.mapInPandas(ranked, out)
 
 
 def _best(query_id: int, v: np.ndarray, ids: np.ndarray, x: np.ndarray, products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -446,6 +446,40 @@ def test_nearest_recall_on_table(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_nearest_of_few_and_far(spark):
+    """All candidates where there are fewer than ``k``; k of them for queries whose neighbour buckets are empty."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df).toPandas()
+    for q in range(12):
+        score = x @ x[q]
+        assert list(got[got.query_id == q].sort_values("rank").vec_id) == [i for i in np.argsort(-score) if i != q]
+    assert ann.nearest(df, df.withColumn("vec_id", F.col("vec_id") + 100)).count() == 144
+    one = rng.normal(size=24)
+    x = one * rng.uniform(0.1, 9, (300, 1)) + rng.normal(size=(300, 24)) / 50
+    far = [(i, v.tolist()) for i, v in enumerate(x)] + [(i // 9, v.tolist()) for i, v in enumerate(x[:270])]  # ids repeat
+    df = spark.createDataFrame(far, "vec_id long, embedding array<double>")
+    away = spark.createDataFrame([(1000, (-one).tolist()), (5, (-one * 1e-3).tolist())], df.schema)
+    assert {r.query_id: r["count"] for r in ann.nearest(df, away, 25).groupBy("query_id").count().collect()} == {1000: 25, 5: 25}
+
+
+@pytest.mark.parametrize("norms,least", [("one long", 0.9), ("lognormal", 0.85)])
+def test_nearest_recall_with_norms(spark, norms, least):
+    frame = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    x, ids = np.stack(frame.embedding).astype(float), frame.vec_id.to_numpy()
+    x = x * np.random.default_rng(1).lognormal(0, 1, (len(x), 1)) if norms == "lognormal" else x * np.where(ids == 7, 100, 1)[:, None]
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>")
+    got, hits = ann.nearest(df, df.filter("vec_id % 20 = 0")).toPandas(), []
+    for q in ids[ids % 20 == 0]:
+        score = x @ x[ids == q][0]
+        score[ids == q] = -np.inf
+        part = got[got.query_id == q]
+        assert len(part) == 20
+        hits.append(len(set(ids[np.argsort(-score)[:20]]) & set(part.vec_id)) / 20)
+    assert np.mean(hits) >= least, np.mean(hits)
+
+
 def test_pipeline(spark, docs):
     """Stage by stage on its own input: columns stay, decisions take effect, clean documents stay."""
     sf = "/root/testdata/sf0.001"
