@@ -30,7 +30,8 @@ def fold_of(key: str, folds: int) -> Column:
 
 def regressor(name: str, seed: int = 42):
     return {"ridge": LinearRegression(labelCol=LABEL, regParam=0.02, elasticNetParam=0.0),
-            "gbt": GBTRegressor(labelCol=LABEL, maxIter=20, maxDepth=4, stepSize=0.1, seed=seed),
+            "gbt": GBTRegressor(labelCol=LABEL, maxIter=300, maxDepth=3, stepSize=0.05, seed=seed),
+            "gbt_band": GBTRegressor(labelCol=LABEL, maxIter=150, maxDepth=3, stepSize=0.05, seed=seed),
             "forest": RandomForestRegressor(labelCol=LABEL, numTrees=20, maxDepth=7, seed=seed)}[name]
 
 
@@ -157,7 +158,7 @@ def disclosure_model(frame: DataFrame, folds: int = 5, buckets: int = 20):
     encode = [StringIndexer(inputCols=list(cats.values()), outputCols=[c + "_i" for c in cats.values()], handleInvalid="keep"),
               OneHotEncoder(inputCols=[c + "_i" for c in cats.values()], outputCols=[c + "_v" for c in cats.values()]),
               VectorAssembler(inputCols=numbers + [c + "_v" for c in cats.values()], outputCol="features")]
-    stages = {"logistic": LogisticRegression(regParam=0.01, maxIter=50), "boosted": GBTClassifier(maxIter=10, maxDepth=3, seed=42)}
+    stages = {"logistic": LogisticRegression(regParam=0.01, maxIter=50), "boosted": GBTClassifier(maxIter=200, maxDepth=3, stepSize=0.05, seed=42)}
 
     def oof(stage):
         out = None
@@ -253,7 +254,7 @@ def poisson_weight(key: str, replicate: int) -> Column:
 
 
 def confidence_band(frame: DataFrame, disclosure: DataFrame, features: list[str], replicates: int = 30, name: str = "gbt",
-                    folds: int = 5) -> DataFrame:
+                    folds: int = 5, resampled: str = "gbt_band") -> DataFrame:
     """The out-of-fold prediction with half the p90-p10 spread of resampled models, widened for titles unlikely to be
     disclosed; an unknown probability takes the median."""
     base = scale.stage(frame.select("title_id", LABEL, *features))
@@ -261,7 +262,7 @@ def confidence_band(frame: DataFrame, disclosure: DataFrame, features: list[str]
     out = base
     for i in range(replicates):
         f = base.withColumn("w", poisson_weight("title_id", i)).filter("w > 0")
-        model = pipeline(features, regressor(name), "w").fit(f)
+        model = pipeline(features, regressor(resampled), "w").fit(f)
         out = model.transform(out).withColumnRenamed("prediction", f"p{i}").drop("raw_features", "features")
     spread = F.array_sort(F.array(*[F.col(f"p{i}") for i in range(replicates)]))
     at = lambda q: F.element_at(spread, int(round(q * (replicates - 1))) + 1)
