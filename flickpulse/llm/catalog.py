@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flickpulse.llm import ann, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, url_filters, warc
+from flickpulse.llm import (
+    ann, fingerprints, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec,
+    substring_dedup, url_filters, warc,
+)
 from flickpulse.llm.registry import query, table
 from flickpulse.operators.scale import shared_root
 
@@ -161,3 +164,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentencepiece_codec.decode(coded, model)
     return back.select("doc_id", F.size("ids_").cast("long").alias("n_tokens"), F.xxhash64("ids_").alias("ids_hash"),
                        (F.col("decoded_") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, as digests of their lanes, and how alike they are."""
+    out = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.sha2("fingerprint_", 256).alias("fingerprint"),
+                      F.sha2("edited_fingerprint_", 256).alias("edited_fingerprint"), "near_edited", "near_next")
