@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flickpulse.llm import (
-    ann, fingerprints, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec,
+    ann, fingerprints, lexical, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec,
     substring_dedup, url_filters, warc,
 )
 from flickpulse.llm.registry import query, table
@@ -172,3 +172,25 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", F.sha2("fingerprint_", 256).alias("fingerprint"),
                       F.sha2("edited_fingerprint_", 256).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+TERMS_SQL = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_ranked_lexical_search", f"""
+    WITH d AS (SELECT doc_id, {TERMS_SQL.format(LOWER_SQL)} AS ts FROM documents),
+    whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+    q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL.format(LOWER_SQL)}) AS term FROM benchmark),
+    tokens AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS term FROM d),
+    p AS (SELECT doc_id, n, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM p, whole GROUP BY term, n_docs),
+    c AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS c
+          FROM p JOIN w USING (term), whole),
+    s AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM q JOIN c USING (term) GROUP BY ALL HAVING sum(c) > 0)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM s QUALIFY rank <= 10""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's ten best documents."""
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("query_id", "item_id")
