@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flickpulse.llm import (
-    ann, fingerprints, lexical, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec,
+    ann, fingerprints, lexical, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, spelling,
     substring_dedup, url_filters, warc,
 )
 from flickpulse.llm.registry import query, table
@@ -194,3 +194,40 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item's ten best documents."""
     found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("query_id", "item_id")
+
+
+@query("op12_spelling_variant_grouping", f"""
+    WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c
+        FROM range(256) r(i))),
+    tokens AS (SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+    runs AS (SELECT doc_id, run, count(*) AS k FROM tokens WHERE length(run) >= 5 GROUP BY ALL),
+    bytes AS (SELECT doc_id, run, k, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x:
+        CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::BIGINT[] END)) AS b
+        FROM runs),
+    hashed AS (SELECT run, k, xor(list_reduce([4294967295] || b, lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) AS h
+               FROM bytes, crc),
+    spelt AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+              FROM hashed),
+    v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt GROUP BY word HAVING sum(k) >= 3 AND length(word) >= 5),
+    places AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+    cut AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS masked, left(word, i) || substr(word, i + 2) AS less FROM places),
+    near AS (SELECT x.word, y.word AS other, y.n FROM cut x JOIN cut y USING (masked) WHERE x.word <> y.word
+             UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = less
+             UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = less),
+    best AS (SELECT word, other, n AS other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+             QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+    judged AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+                      CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    lead AS (SELECT word, word AS root, 0 AS step FROM v
+             UNION ALL SELECT lead.word, form, step + 1 FROM lead JOIN judged ON judged.word = root WHERE form IS NOT NULL),
+    roots AS (SELECT word, arg_max(root, step) AS root FROM lead GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM judged JOIN roots USING (word)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant groups of the words of all documents; one run in 97 loses a code point first."""
+    runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=5)
+    h, size = F.col("h"), F.char_length("run_")
+    cut = F.concat(F.substring("run_", F.lit(1), (h % size).cast("int")), F.substring("run_", (h % size + 2).cast("int"), size))
+    hashed = runs.withColumn("h", F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "run_")))
+    words = hashed.select(F.when(h % 97 == 0, cut).otherwise(F.col("run_")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return spelling.variants(words.filter((F.char_length("word") >= 5) & (F.col("n") >= 3)))
