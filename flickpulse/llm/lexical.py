@@ -1,12 +1,14 @@
 """Ranked lexical search by NRA: sequential reads in order of impact, with score intervals.
 
-Every query term has a list of postings (document, contribution to the score). A contribution depends on the term and the
-document only, so all lists are read together from the largest contribution down, in ``SHARES`` steps. A document that was met
-has a score interval for a query: what its read postings sum up to, and that plus, for each of the query's terms not met in it
-yet, the largest contribution its list still has unread.
-
-* A query stays open while a document that was never met could reach its k-th lower bound. Afterwards only its candidates are
-  looked up in what is read.
+Every query term has lists of postings (document, contribution to the score), one for each class of documents of like length,
+as equally long documents get like contributions from a term and so leave tight bounds. A contribution depends on the term and
+the document only, so all lists are read together from the largest contribution down, in ``SHARES`` steps. A document that was
+met has a score interval for a query: what its read postings sum up to, and that plus, for each of the query's terms not met
+in it yet, the largest contribution its list still has unread. These largest contributions are known for all steps from one
+pass over the lists, so a document only keeps their sums over the terms met in it.
+
+* A class stays open for a query while a document of it that was never met could reach the query's k-th lower bound.
+  Afterwards only its candidates are looked up in what is read.
 * A candidate whose upper bound is below the k-th lower bound goes. Ties stay, so equal scores are decided by id.
 * Reading ends when every query is closed and the intervals of all its candidates are points: members, order and scores are
   final then, and equal to those of full sums. After the last step all intervals are points.
@@ -28,7 +30,9 @@ from flickpulse.operators.scale import shared_root, stage
 TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares of the postings that have been read after each step.
-SHARES = (1 / 1024, 1 / 256, 1 / 64, 1 / 16, 1 / 4, 1)
+SHARES = (1 / 256, 1 / 32, 1 / 8, 1 / 4, 1 / 2, 1)
+#: Classes of documents for each doubling of the length.
+CLASSES = 3
 
 
 def terms(text: str) -> Column:
@@ -54,27 +58,27 @@ def _postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, i
 
 
 def _contributions(postings: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
-    """``doc_, t, c``: what a term adds to a document's score; terms in all documents add nothing and are left out."""
+    """``s, doc_, t, c``: the document's class, and what a term adds to a document's score; terms in all documents add nothing and are left out."""
     weight = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
         "t", F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long").alias("w"))
     m = f"(10L + ((90L * n * {n_docs}L) div {max(n_terms, 1)}L))"
     return postings.join(weight, "t").select(
-        "doc_", "t", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 8L * {m}))").alias("c")).filter("c > 0")
+        F.expr(f"int({CLASSES} * log2({m}))").alias("s"), "doc_", "t", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 8L * {m}))").alias("c")).filter("c > 0")
 
 
 def _in_steps(contributions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists cut into steps of falling contributions, one folder a step; and ``t, f``: of every step, the largest
-    contribution that each list has after it."""
-    lists = stage(contributions)
-    cuts = lists.agg(F.percentile_approx("c", [1 - s for s in SHARES[:-1]], 10_000)).first()[0] or []
+    """The lists cut into steps of falling contributions, one folder a step; and ``t, s, f0, ...``: of every step, the
+    largest contribution that each list has after it."""
+    cuts = contributions.agg(F.percentile_approx("c", [1 - s for s in SHARES[:-1]], 10_000)).first()[0] or []
     step = F.lit(0)
     for cut in cuts:
         step = step + F.when(F.col("c") < F.lit(cut), 1).otherwise(0)
-    path = f"{shared_root(lists.sparkSession)}/lists-{uuid.uuid4().hex}"
-    lists.withColumn("step", step).write.partitionBy("step").parquet(path)
-    lists = lists.sparkSession.read.schema("doc_ long, t long, c long, step int").parquet(path)
+    spark = contributions.sparkSession
+    path = f"{shared_root(spark)}/lists-{uuid.uuid4().hex}"
+    contributions.withColumn("step", step).write.partitionBy("step").parquet(path)
+    lists = spark.read.schema("s int, doc_ long, t long, c long, step int").parquet(path)
     left = [F.coalesce(F.max(F.when(F.col("step") > i, F.col("c"))), F.lit(0)).alias(f"f{i}") for i in range(len(SHARES))]
-    return lists, stage(lists.groupBy("t").agg(*left))
+    return lists, stage(lists.groupBy("t", "s").agg(*left))
 
 
 def _kth(candidates: DataFrame, k: int) -> DataFrame:
@@ -97,41 +101,38 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     vocabulary = stage(q_terms.select("term").distinct().withColumn("t", F.monotonically_increasing_id()))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_"), F.col(text_col).alias("text_")).filter("doc_ is not null")
     lists, frontier = _in_steps(_contributions(*_postings(texts, vocabulary)))
-    # a query's terms that occur at all, numbered from 0
-    place = (F.row_number().over(W.partitionBy("q").orderBy("t")) - 1).alias("p")
-    q_lists = stage(q_terms.join(vocabulary, "term").join(frontier, "t").select("q", "t", place, *[f"f{i}" for i in range(len(SHARES))]))
-
-    done = None  # (query, document, score) of the queries that need no more reads
-    state = q_lists.select("q").distinct().withColumn("open", F.lit(True))
-    candidates = None
-    for i in range(len(SHARES)):
-        now = lists.filter(F.col("step") == i).select("doc_", "t", "c")
-        own = q_lists.select("q", "t", "p").join(state, "q")
-        met = now.join(own.filter("open").drop("open"), "t")
+    edges = [f"f{i}" for i in range(len(SHARES))]
+    q_lists = stage(q_terms.join(vocabulary, "term").join(frontier, "t").select("q", "s", "t", *edges))
+    rests = q_lists.groupBy("q", "s").agg(*[F.sum(f).alias(f) for f in edges])
+
+    done, candidates = None, None  # done: final rows of the classes that need no more reads
+    state = rests.select("q", "s", F.lit(True).alias("open"))
+    for i, edge in enumerate(edges):
+        later = edges[i:-1]  # nothing is unread after the last step
+        now = lists.filter(F.col("step") == i).select("s", "doc_", "t", F.col("c").alias("low"))
+        own = q_lists.select("q", "s", "t", *later).join(state, ["q", "s"])
+        met = now.join(own.filter("open"), ["t", "s"]).select("q", "s", "doc_", "low", *later)
         if candidates is not None:
-            looked_up = candidates.select("q", "doc_").join(state.filter("not open"), "q").drop("open").join(now, "doc_")
-            met = met.unionByName(looked_up.join(own.drop("open"), ["q", "t"]).select(*met.columns))
-        fresh = met.select("q", "doc_", F.col("c").alias("low"), F.array("p").alias("seen"))
-        all_ = fresh if candidates is None else candidates.unionByName(fresh)
-        summed = stage(all_.groupBy("q", "doc_").agg(F.sum("low").alias("low"), F.flatten(F.collect_list("seen")).alias("seen")))
-        rest = q_lists.groupBy("q").agg(F.sum(f"f{i}").alias("rest"),
-                                        F.transform(F.array_sort(F.collect_list(F.struct("p", f"f{i}"))), lambda x: x[f"f{i}"]).alias("left"))
-        bounds = stage(rest.join(_kth(summed, k), "q", "left").withColumn("b", F.coalesce("b", F.lit(0))))
-        unseen = F.col("rest") - F.aggregate("seen", F.lit(0).cast("long"), lambda x, p: x + F.element_at("left", p + 1))
-        kept = (summed.join(bounds, "q").withColumn("high", F.col("low") + unseen).filter("high >= b"))
-        candidates = stage(kept.select("q", "doc_", "low", "high", "seen"))
-        wide = candidates.groupBy("q").agg(F.max(F.col("high") > F.col("low")).alias("wide"))
+            closed = candidates.join(state.filter("not open").select("q", "s"), ["q", "s"], "left_semi").select("q", "s", "doc_")
+            looked_up = closed.join(now.drop("s"), "doc_").join(own, ["q", "s", "t"])
+            met = met.unionByName(looked_up.select(*met.columns)).unionByName(candidates.select(*met.columns))
+        summed = stage(met.groupBy("q", "s", "doc_").agg(*[F.sum(c).alias(c) for c in ("low", *later)]))
+        known = summed.select("q", "doc_", "low")
+        known = known if done is None else known.unionByName(done)
+        bounds = stage(rests.select("q", "s", F.col(edge).alias("rest")).join(state, ["q", "s"]).join(_kth(known, k), "q", "left")
+                       .withColumn("b", F.coalesce("b", F.lit(0))))
+        high = F.col("low") + (F.col("rest") - F.col(edge) if later else 0)
+        kept = summed.join(bounds.drop("open"), ["q", "s"]).withColumn("high", high).filter("high >= b")
+        wide = kept.groupBy("q", "s").agg(F.max(F.col("high") > F.col("low")).alias("wide"))
         now_open = F.col("open") & (F.col("rest") >= F.greatest("b", F.lit(1)))
-        state = stage(state.join(bounds, "q").join(wide, "q", "left")
-                      .select("q", now_open.alias("open"), F.coalesce("wide", F.lit(False)).alias("wide")))
-        # unions below are of final rows: a query leaves the loop once it is closed and its intervals are points
-        final = state.filter("not open and not wide").select("q")
-        ready = candidates.join(final, "q", "left_semi").select("q", "doc_", "low")
+        state = stage(bounds.join(wide, ["q", "s"], "left")
+                      .select("q", "s", now_open.alias("open"), F.coalesce("wide", F.lit(False)).alias("wide")))
+        ready = kept.join(state.filter("not open and not wide"), ["q", "s"], "left_semi").select("q", "doc_", "low")
         done = ready if done is None else done.unionByName(ready)
-        state = state.filter("open or wide").select("q", "open")
+        state = state.filter("open or wide").select("q", "s", "open")
         if state.isEmpty():
             break
-        candidates = candidates.join(state.select("q"), "q", "left_semi").select("q", "doc_", "low", "seen")
+        candidates = kept.join(state, ["q", "s"], "left_semi").select("q", "s", "doc_", "low", *later)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("low"), "doc_"))
     return done.select("q", "doc_", "low", rank.alias("rank")).filter((F.col("rank") <= k) & (F.col("low") > 0)).select(
         F.col("q").alias("query_id"), "rank", F.col("doc_").alias("doc_id"), F.col("low").alias("score"))
