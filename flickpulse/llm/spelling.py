@@ -189,14 +189,15 @@ def _beginnings(vocabulary: DataFrame, group: int) -> DataFrame:
     """
     rest, found, low = vocabulary, None, 0
     while True:
-        last = low + STRIDE - 1
-        each = rest.select("word", "n", F.explode(F.sequence(F.lit(low), F.lit(last))).alias("depth"))
-        few = each.groupBy(_begin("depth").alias("g"), "depth").agg(F.count(F.lit(1)).alias("words")).filter(F.col("words") <= group)
-        depth = each.withColumn("g", _begin("depth")).join(few, ["g", "depth"]).groupBy("word", "n").agg(F.min("depth").alias("depth"))
-        depth = stage(rest.join(depth, ["word", "n"], "left").select("word", "n", "depth"))
-        placed = depth.filter("depth is not null")
+        each = rest.select("word", F.explode(F.sequence(F.lit(low), F.lit(low + STRIDE - 1))).alias("depth")).withColumn("g", _begin("depth"))
+        # a beginning of such a one has as many words or more, so the depth is the number of those that are too wide
+        wide = stage(each.groupBy("g", "depth").agg(F.count(F.lit(1)).alias("words")).filter(F.col("words") > group).select("g", "depth"))
+        depth = each.join(wide, ["g", "depth"]).groupBy("word").agg(F.count(F.lit(1)).alias("more"))
+        more = F.coalesce("more", F.lit(0))
+        depth = stage(rest.join(depth, "word", "left").select("word", "n", (more + low).cast("int").alias("depth"), (more == STRIDE).alias("on")))
+        placed = depth.filter("not on").select("word", "n", "depth")
         found = placed if found is None else found.unionByName(placed)
-        rest, low = depth.filter("depth is null").select("word", "n"), low + STRIDE
+        rest, low = depth.filter("on").select("word", "n"), low + STRIDE
         if rest.isEmpty():
             return found
 
