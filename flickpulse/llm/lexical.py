@@ -43,15 +43,14 @@ def terms(text: str) -> Column:
 
 def _postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, int]:
     """``doc_, t, tf, n`` of the vocabulary's terms, and the counts N and L of the whole table."""
-    rows = docs.withColumn("n", F.regexp_count("text_", F.lit(TERM)).cast("long")).filter("n > 0")
-    lengths = rows.groupBy("doc_").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("rows"))
-    lengths = stage(lengths)
+    rows = docs.select("doc_", F.regexp_count("text_", F.lit(TERM)).cast("long").alias("n")).filter("n > 0")
+    lengths = stage(rows.groupBy("doc_").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("rows")))
     n_docs, n_terms = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    found = (rows.select("doc_", "n", F.explode(terms("text_")).alias("term")).join(vocabulary, "term")
-             .groupBy("doc_", "n", "t").agg(F.count(F.lit(1)).alias("tf")))
-    found = stage(found)
+    split = docs.select("doc_", terms("text_").alias("all_")).select("doc_", F.size("all_").cast("long").alias("n"), "all_")
+    found = stage(split.select("doc_", "n", F.explode("all_").alias("term")).join(vocabulary, "term")
+                  .groupBy("doc_", "n", "t").agg(F.count(F.lit(1)).alias("tf")))
     # rows that repeat an id are one document
-    several = lengths.filter("rows > 1").select("doc_", "n_all")
+    several = stage(lengths.filter("rows > 1").select("doc_", "n_all"))
     merged = found.join(several, "doc_").groupBy("doc_", "t", F.col("n_all").alias("n")).agg(F.sum("tf").alias("tf"))
     single = found.join(several, "doc_", "left_anti").select("doc_", "t", "n", "tf")
     return single.unionByName(merged), n_docs, n_terms
@@ -59,8 +58,8 @@ def _postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, i
 
 def _contributions(postings: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """``s, doc_, t, c``: the document's class, and what a term adds to a document's score; terms in all documents add nothing and are left out."""
-    weight = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
-        "t", F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long").alias("w"))
+    weight = stage(postings.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
+        "t", F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long").alias("w")))
     m = f"(10L + ((90L * n * {n_docs}L) div {max(n_terms, 1)}L))"
     return postings.join(weight, "t").select(
         F.expr(f"int({CLASSES} * log2({m}))").alias("s"), "doc_", "t", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 8L * {m}))").alias("c")).filter("c > 0")
