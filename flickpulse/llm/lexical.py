@@ -47,8 +47,9 @@ def _postings(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, int, i
     lengths = stage(rows.groupBy("doc_").agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("rows")))
     n_docs, n_terms = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
     split = docs.select("doc_", terms("text_").alias("all_")).select("doc_", F.size("all_").cast("long").alias("n"), "all_")
-    found = stage(split.select("doc_", "n", F.explode("all_").alias("term")).join(vocabulary, "term")
-                  .groupBy("doc_", "n", "t").agg(F.count(F.lit(1)).alias("tf")))
+    # all postings of a document lie in one file, so that later sums are almost complete before they are shuffled
+    found = stage(split.select("doc_", "n", F.explode("all_").alias("term")).join(vocabulary, "term").select("doc_", "n", "t")
+                  .repartition("doc_", "n").groupBy("doc_", "n", "t").agg(F.count(F.lit(1)).alias("tf")))
     # rows that repeat an id are one document
     several = stage(lengths.filter("rows > 1").select("doc_", "n_all"))
     merged = found.join(several, "doc_").groupBy("doc_", "t", F.col("n_all").alias("n")).agg(F.sum("tf").alias("tf"))
