@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -21,6 +24,7 @@ from flickpulse.operators import scale
 from flickpulse.operators import titles as T
 
 LABEL = "ln_revenue"
+AT_ONCE = 8
 
 
 def fold_of(key: str, folds: int) -> Column:
@@ -30,8 +34,9 @@ def fold_of(key: str, folds: int) -> Column:
 
 def regressor(name: str, seed: int = 42):
     return {"ridge": LinearRegression(labelCol=LABEL, regParam=0.02, elasticNetParam=0.0),
-            "gbt": GBTRegressor(labelCol=LABEL, maxIter=300, maxDepth=3, stepSize=0.05, seed=seed),
-            "gbt_band": GBTRegressor(labelCol=LABEL, maxIter=150, maxDepth=3, stepSize=0.05, seed=seed),
+            "gbt": GBTRegressor(labelCol=LABEL, maxIter=300, maxDepth=3, stepSize=0.05, checkpointInterval=20, seed=seed),
+            "gbt_band": GBTRegressor(labelCol=LABEL, maxIter=150, maxDepth=3, stepSize=0.05, checkpointInterval=20, seed=seed),
+            "gbt_band_fast": GBTRegressor(labelCol=LABEL, maxIter=50, maxDepth=3, stepSize=0.15, checkpointInterval=20, seed=seed),
             "forest": RandomForestRegressor(labelCol=LABEL, numTrees=20, maxDepth=7, seed=seed)}[name]
 
 
@@ -44,6 +49,16 @@ def pipeline(features: list[str], stage, weight: str | None = None) -> Pipeline:
                             stage])
 
 
+def fit_all(tasks: list[tuple[Pipeline, DataFrame]], at_once: int = AT_ONCE) -> list[PipelineModel]:
+    """The fitted models in the order of ``tasks``, ``at_once`` of them at a time.
+
+    A boosted model is hundreds of short jobs in a row, which leave executors idle; jobs of several models share them.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        spark = tasks[0][1].sparkSession
+        return list(pool.map(inheritable_thread_target(spark)(lambda task: task[0].fit(task[1])), tasks))
+
+
 def model_frame(titles: DataFrame, min_year: int = 1900) -> DataFrame:
     """Deduplicated titles with the plain numeric features, disclosed or not; unknown numbers become 0."""
     c = T.clean(titles)
@@ -91,8 +106,8 @@ def oof_predict(frame: DataFrame, features: list[str], name: str = "ridge", fold
     """Each row predicted by a model that never saw its fold."""
     f = frame.withColumn("fold", fold_of("title_id", folds))
     out = None
-    for k in range(folds):
-        model = pipeline(features, regressor(name), weight).fit(f.filter(F.col("fold") != k))
+    models = fit_all([(pipeline(features, regressor(name), weight), f.filter(F.col("fold") != k)) for k in range(folds)])
+    for k, model in enumerate(models):
         part = model.transform(f.filter(F.col("fold") == k)).drop("raw_features", "features")
         out = part if out is None else out.unionByName(part)
     return out
@@ -158,12 +173,12 @@ def disclosure_model(frame: DataFrame, folds: int = 5, buckets: int = 20):
     encode = [StringIndexer(inputCols=list(cats.values()), outputCols=[c + "_i" for c in cats.values()], handleInvalid="keep"),
               OneHotEncoder(inputCols=[c + "_i" for c in cats.values()], outputCols=[c + "_v" for c in cats.values()]),
               VectorAssembler(inputCols=numbers + [c + "_v" for c in cats.values()], outputCol="features")]
-    stages = {"logistic": LogisticRegression(regParam=0.01, maxIter=50), "boosted": GBTClassifier(maxIter=200, maxDepth=3, stepSize=0.05, seed=42)}
+    stages = {"logistic": LogisticRegression(regParam=0.01, maxIter=50), "boosted": GBTClassifier(maxIter=200, maxDepth=3, stepSize=0.05, checkpointInterval=20, seed=42)}
 
     def oof(stage):
         out = None
-        for k in range(folds):
-            m = Pipeline(stages=encode + [stage]).fit(f.filter(F.col("fold") != k))
+        models = fit_all([(Pipeline(stages=encode + [stage]), f.filter(F.col("fold") != k)) for k in range(folds)])
+        for k, m in enumerate(models):
             part = m.transform(f.filter(F.col("fold") == k)).select(
                 "title_id", "label", "rawPrediction", vector_to_array("probability")[1].alias("p_disclosed"))
             out = part if out is None else out.unionByName(part)
@@ -260,9 +275,9 @@ def confidence_band(frame: DataFrame, disclosure: DataFrame, features: list[str]
     base = scale.stage(frame.select("title_id", LABEL, *features))
     centre = oof_predict(base, features, name, folds).select("title_id", "prediction")
     out = base
-    for i in range(replicates):
-        f = base.withColumn("w", poisson_weight("title_id", i)).filter("w > 0")
-        model = pipeline(features, regressor(resampled), "w").fit(f)
+    models = fit_all([(pipeline(features, regressor(resampled), "w"),
+                       base.withColumn("w", poisson_weight("title_id", i)).filter("w > 0")) for i in range(replicates)])
+    for i, model in enumerate(models):
         out = model.transform(out).withColumnRenamed("prediction", f"p{i}").drop("raw_features", "features")
     spread = F.array_sort(F.array(*[F.col(f"p{i}") for i in range(replicates)]))
     at = lambda q: F.element_at(spread, int(round(q * (replicates - 1))) + 1)

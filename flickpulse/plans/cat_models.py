@@ -95,7 +95,7 @@ def bootstrap_coefficients(t):
 
 @query("confidence_band")
 def confidence_band(t):
-    return M.confidence_band(disclosed(t), disclosure(t), M.FEATURES)
+    return M.confidence_band(disclosed(t), disclosure(t), M.FEATURES, resampled="gbt_band_fast")
 
 
 @query("partial_dependence")
