@@ -129,9 +129,12 @@ def mention_daily(t):
     SELECT entity_id, day_no, string_agg(content_intent || '=' || n, ',' ORDER BY content_intent) AS mix
     FROM (SELECT entity_id, day_no, content_intent, count(*) AS n FROM linked GROUP BY 1, 2, 3) q GROUP BY 1, 2""")
 def intent_mix(t):
-    text = F.array_join(F.transform(F.map_entries("intent_mix"), lambda e: F.concat(
+    return D.intent_mix(cube(t)).select("entity_id", "day_no", mix_text().alias("mix"))
+
+
+def mix_text():
+    return F.array_join(F.transform(F.map_entries("intent_mix"), lambda e: F.concat(
         e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return D.intent_mix(cube(t)).select("entity_id", "day_no", text.alias("mix"))
 
 
 @query("trailing_sentiment", VMI + "," + DAILY + "," + TRAIL + """
@@ -203,18 +206,22 @@ def cascade_depth(t):
     return D.cascade_depth(cube(t), t.identity_link, degrees(t))
 
 
-@query("behavior_daily", VMI + "," + DAILY + "," + TRAIL + "," + SPILL + "," + SHARE + "," + CASC + """
+@query("behavior_daily", VMI + "," + DAILY + "," + TRAIL + "," + SPILL + "," + SHARE + "," + CASC + """,
+    mix AS (SELECT entity_id, day_no, string_agg(content_intent || '=' || n, ',' ORDER BY content_intent) AS intent_mix
+            FROM (SELECT entity_id, day_no, content_intent, count(*) AS n FROM linked WHERE content_intent IS NOT NULL GROUP BY 1, 2, 3) q
+            GROUP BY 1, 2)
     SELECT v.entity_id, v.day_no, v.day_index, coalesce(mentions, 0) AS comment_velocity,
            round(net_sentiment_delta,6)+0.0 AS net_sentiment_delta, round(coalesce(spreader_tier_share,0),6) AS spreader_tier_share,
-           round(coalesce(cascade_depth,0),6) AS cascade_depth, spillover_event
+           round(coalesce(cascade_depth,0),6) AS cascade_depth, spillover_event, intent_mix
     FROM vmi v LEFT JOIN daily USING (entity_id, day_no) LEFT JOIN ratio USING (entity_id, day_no)
          LEFT JOIN share USING (entity_id, day_no) LEFT JOIN casc USING (entity_id, day_no)
-         LEFT JOIN best USING (entity_id, day_no)""")
+         LEFT JOIN best USING (entity_id, day_no) LEFT JOIN mix USING (entity_id, day_no)""")
 def behavior_daily(t):
     from flickpulse.operators import scale
     c = scale.stage(cube(t))
     v = D.vmi_daily(D.daily_volume(c), t.entities)
-    return D.behavior_daily(v, c, daily(t), E.rating(t.posts_lean), t.identity_link, degrees(t)).drop("intent_mix")
+    days = D.behavior_daily(v, c, daily(t), E.rating(t.posts_lean), t.identity_link, degrees(t))
+    return days.withColumn("intent_mix", mix_text())
 
 
 @query("own_threshold", VMI + "," + DAILY + "," + TRAIL + """

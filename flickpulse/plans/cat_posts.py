@@ -182,12 +182,23 @@ def platform_handles(t):
 
 
 @query("platform_handles_map", """
-    SELECT author, count(DISTINCT platform) AS n_platforms, max(n) AS most FROM (
-      SELECT author, platform, count(*) AS n FROM posts_lean GROUP BY author, platform) q GROUP BY author""")
+    h AS (SELECT author, platform, arg_max(permalink, us::hugeint*1000000000 + post_id) AS url, count(*) AS n,
+                 sum(likes)::BIGINT AS likes, sum(comments)::BIGINT AS comments, sum(views)::BIGINT AS views FROM posts_lean GROUP BY author, platform),
+    e AS (SELECT author, platform, n, concat_ws(';', CASE platform WHEN 'x' THEN 'https://twitter.com/' || lower(author)
+                            WHEN 'youtube' THEN 'https://www.youtube.com/@' || author
+                            WHEN 'reddit' THEN 'https://reddit.com/user/' || author
+                            ELSE 'https://www.instagram.com/' || author || '/' END, url, n, likes, comments, views,
+                          floor((likes+comments)*100.0::double/n + 0.5)::BIGINT) AS entry FROM h)
+    SELECT author, arg_min(platform, (-n, platform)) AS primary_platform,
+           string_agg(platform || '=' || entry, ',' ORDER BY platform) AS by_platform FROM e GROUP BY author""")
 def platform_handles_map(t):
+    whole = lambda c: c.cast("long").cast("string")
     m = E.handle_maps(t.posts_lean)
-    return m.select("author", F.size("by_platform").alias("n_platforms"),
-                    F.element_at("by_platform", F.col("primary_platform"))["post_count"].alias("most"))
+    texts = F.transform(F.map_entries("by_platform"), lambda e: F.concat(e["key"], F.lit("="), F.concat_ws(
+        ";", e["value"]["profile_url"], e["value"]["sample_post_url"],
+        *[whole(e["value"][c]) for c in ("post_count", "total_likes", "total_comments", "total_views")],
+        whole(F.round(e["value"]["avg_engagement_per_post"] * 100)))))
+    return m.select("author", "primary_platform", F.array_join(F.array_sort(texts), ",").alias("by_platform"))
 
 
 @query("peak_activity", """

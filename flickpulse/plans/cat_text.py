@@ -154,19 +154,18 @@ def top_movie_genres(t):
     gp AS (SELECT genre || '|' || author AS author, post_id, us FROM labels_ JOIN posts_lean USING (post_id)
            WHERE sentiment_score BETWEEN 1 AND 100),""" + excite_sql("gp", 3.0, "3600000000.0", "us - us % 1000000") + ","
        + fit_sql(3.0, "3600000000.0") + """,
-    ga AS (SELECT split_part(author, '|', 1) AS genre, split_part(author, '|', 2) AS author, n, alpha FROM fit),
+    ga AS (SELECT split_part(author, '|', 1) AS genre, split_part(author, '|', 2) AS author, n, round(alpha,6)+0.0 AS alpha FROM fit),
     cu AS (SELECT genre, quantile_cont(alpha, 0.95) AS cutoff FROM ga GROUP BY 1)
-    SELECT genre, author, n, round(alpha,4) AS alpha FROM ga JOIN cu USING (genre) WHERE alpha >= cutoff AND alpha > 1e-9""",
+    SELECT genre, author, n, round(alpha,4) AS alpha FROM ga JOIN cu USING (genre) WHERE alpha >= cutoff""",
        recursive=True)
 def genre_spreaders(t):
     from flickpulse.operators import timeline as TL
     hits = P.valid_sentiment(labelled(t))
     fits = TL.hawkes_fit(hits, ["genre", "author"], TL.HOURLY).filter("n >= 2")
     from flickpulse.operators import scale
-    fits = scale.stage(fits)
+    fits = scale.stage(fits.withColumn("alpha", F.round("alpha", 6) + 0.0))
     cut = scale.exact_quantiles(fits, "alpha", {"cutoff": 0.95}, ("genre",))
-    return fits.join(cut, "genre").filter("alpha >= cutoff AND alpha > 1e-9").select("genre", "author", "n",
-                                                                    F.round("alpha", 4).alias("alpha"))
+    return fits.join(cut, "genre").filter("alpha >= cutoff").select("genre", "author", "n", F.round("alpha", 4).alias("alpha"))
 
 
 # ---- aspects -------------------------------------------------------------------------------------------------------

@@ -418,13 +418,17 @@ def title_functions(t):
                              C.first_country("country").alias("first_country"), "release_year", "release_day")
 
 
+BANDED = ["rating", "joint_production_partnerships", "certificate", "remake_rights", "excess_runtime", "trailer_timing",
+          "song_timing", "shipping_pace", "priority_level"]
+
+
 @query("feature_frame", FACTS + "," + CR[len(CL) + 1:] + "," + FB[len(CR) + 1:] + "," + BE[len(DD) + 1:] + ","
        + anchor_sql("directors", "r_director") + "," + anchor_sql("primary_genre", "r_concept") + """
     SELECT title_id, movie_key, release_year, market_is_home, primary_genre, round(ln(revenue),4) AS ln_revenue,
            round(ln(greatest(b,1)),4) AS ln_budget_effective,
            round(ln(coalesce(r_star, (SELECT median(r_star) FROM dd JOIN star USING (movie_key)))),4) AS ln_r_star,
            round(r_director,3) AS r_director, round(r_concept,3) AS r_concept,
-           round(max(banded) FILTER (factor = 'rating'),4) AS rating
+           """ + ", ".join(f"round(max(banded) FILTER (factor = '{k}'),4) AS {k}" for k in BANDED) + """
     FROM dd JOIN be USING (title_id) LEFT JOIN star USING (movie_key) JOIN r_director USING (title_id)
          JOIN r_concept USING (title_id) JOIN bd USING (title_id)
     GROUP BY ALL""")
@@ -433,4 +437,5 @@ def feature_frame(t):
     f = T.feature_frame(t.titles, c, t.factor_values)
     r = lambda n, d: F.round(n, d).alias(n)
     return f.select("title_id", "movie_key", "release_year", "market_is_home", "primary_genre", r("ln_revenue", 4),
-                    r("ln_budget_effective", 4), F.round(F.log("r_star"), 4).alias("ln_r_star"), r("r_director", 3), r("r_concept", 3), r("rating", 4))
+                    r("ln_budget_effective", 4), F.round(F.log("r_star"), 4).alias("ln_r_star"), r("r_director", 3), r("r_concept", 3),
+                    *[r(k, 4) for k in BANDED])
