@@ -17,6 +17,7 @@ from flickpulse.llm import catalog, line_dedup, minhash_dedup, packing, quality_
 from flickpulse.llm.registry import ORACLES, QUERIES, table
 from flickpulse.operators.scale import stage
 
+WORD = r"[^\x20\x09-\x0D]"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -35,8 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document, or they themselves, have already."""
-    return _with_text(line_dedup.remove_lines(docs.select(*COLUMNS)), "kept_text_")
+    """Documents without lines that an earlier document, or they themselves, have already.
+
+    A document that had words and has none left is an earlier one's copy, or made of such lines only, and goes.
+    """
+    left = line_dedup.remove_lines(docs.select(*COLUMNS))
+    emptied = (F.col("n_removed_") > 0) & ~F.col("kept_text_").rlike(WORD)
+    return _with_text(left.filter(~F.coalesce(emptied, F.lit(False))), "kept_text_")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that documents of smaller id have."""
-    return _with_text(substring_dedup.remove_repeated(docs.select(*COLUMNS)), "kept_text_")
+    """Documents without the passages that documents of smaller id have; a text that loses nothing keeps its white space."""
+    left = substring_dedup.remove_repeated(docs.select(*COLUMNS))
+    return _with_text(left.withColumn("kept_text_", F.when(F.col("n_removed_") > 0, F.col("kept_text_")).otherwise(F.col("text"))), "kept_text_")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,12 +40,15 @@ def held_out(id_col: str) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``text, label`` of at most ``sample`` labelled rows outside the held-out fold, chosen by the hash of their id."""
+    """``text, label`` of at most ``sample`` labelled rows outside the held-out fold, chosen by the hash of their id.
+
+    Where documents repeat a labelled id, the one of smallest text hash stands for it, so there are never more rows."""
     chosen = (labels.select(F.col(id_col), F.col(label).cast("double").alias("label"))
               .filter(~held_out(id_col) & F.col("label").isin(0.0, 1.0))
               .orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), id_col, "label").limit(sample))
     return (docs.filter(~held_out(id_col)).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .join(chosen, id_col).select(id_col, "text", "label"))
+            .join(chosen, id_col).groupBy(id_col, "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+            .select(id_col, "text", "label"))
 
 
 def _bucket(h: np.ndarray, family: int) -> np.ndarray:
