@@ -30,9 +30,9 @@ from flickpulse.operators.scale import shared_root, stage
 TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares of the postings that have been read after each step.
-SHARES = (1 / 256, 1 / 32, 1 / 8, 1 / 4, 1 / 2, 1)
+SHARES = (1 / 256, 1 / 32, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 #: Classes of documents for each doubling of the length.
-CLASSES = 3
+CLASSES = 6
 
 
 def terms(text: str) -> Column:
