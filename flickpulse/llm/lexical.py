@@ -127,7 +127,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         now_open = F.col("open") & (F.col("rest") >= F.greatest("b", F.lit(1)))
         state = stage(bounds.join(wide, ["q", "s"], "left")
                       .select("q", "s", now_open.alias("open"), F.coalesce("wide", F.lit(False)).alias("wide")))
-        ready = kept.join(state.filter("not open and not wide"), ["q", "s"], "left_semi").select("q", "doc_", "low")
+        ready = stage(kept.join(state.filter("not open and not wide"), ["q", "s"], "left_semi").select("q", "doc_", "low"))
         done = ready if done is None else done.unionByName(ready)
         state = state.filter("open or wide").select("q", "s", "open")
         if state.isEmpty():
