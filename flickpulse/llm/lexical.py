@@ -103,7 +103,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     lists, frontier = _in_steps(_contributions(*_postings(texts, vocabulary)))
     edges = [f"f{i}" for i in range(len(SHARES))]
     q_lists = stage(q_terms.join(vocabulary, "term").join(frontier, "t").select("q", "s", "t", *edges))
-    rests = q_lists.groupBy("q", "s").agg(*[F.sum(f).alias(f) for f in edges])
+    rests = stage(q_lists.groupBy("q", "s").agg(*[F.sum(f).alias(f) for f in edges]))
 
     done, candidates = None, None  # done: final rows of the classes that need no more reads
     state = rests.select("q", "s", F.lit(True).alias("open"))
@@ -113,7 +113,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         own = q_lists.select("q", "s", "t", *later).join(state, ["q", "s"])
         met = now.join(own.filter("open"), ["t", "s"]).select("q", "s", "doc_", "low", *later)
         if candidates is not None:
-            closed = candidates.join(state.filter("not open").select("q", "s"), ["q", "s"], "left_semi").select("q", "s", "doc_")
+            closed = candidates.filter("not open").select("q", "s", "doc_")
             looked_up = closed.join(now.drop("s"), "doc_").join(own, ["q", "s", "t"])
             met = met.unionByName(looked_up.select(*met.columns)).unionByName(candidates.select(*met.columns))
         summed = stage(met.groupBy("q", "s", "doc_").agg(*[F.sum(c).alias(c) for c in ("low", *later)]))
@@ -127,12 +127,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         now_open = F.col("open") & (F.col("rest") >= F.greatest("b", F.lit(1)))
         state = stage(bounds.join(wide, ["q", "s"], "left")
                       .select("q", "s", now_open.alias("open"), F.coalesce("wide", F.lit(False)).alias("wide")))
-        ready = stage(kept.join(state.filter("not open and not wide"), ["q", "s"], "left_semi").select("q", "doc_", "low"))
+        # both kinds of rows in one table, so that the next step reads its candidates instead of joining for them twice
+        judged = stage(kept.join(state, ["q", "s"]).select("q", "s", "doc_", "low", *later, "open", "wide"))
+        ready = judged.filter("not open and not wide").select("q", "doc_", "low")
         done = ready if done is None else done.unionByName(ready)
+        candidates = judged.filter("open or wide")
         state = state.filter("open or wide").select("q", "s", "open")
         if state.isEmpty():
             break
-        candidates = kept.join(state, ["q", "s"], "left_semi").select("q", "s", "doc_", "low", *later)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("low"), "doc_"))
     return done.select("q", "doc_", "low", rank.alias("rank")).filter((F.col("rank") <= k) & (F.col("low") > 0)).select(
         F.col("q").alias("query_id"), "rank", F.col("doc_").alias("doc_id"), F.col("low").alias("score"))
